@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, quality
+from . import jaccard_join, lm, mixing, quality
 from ._shared import documents, table
 
 
@@ -22,6 +22,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(documents(spark, sf_dir), width=3, similarity=(90, 100))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(documents(spark, sf_dir))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, left(md5('17:' || coalesce(doc_id::VARCHAR, '')), 16) AS key
@@ -66,7 +70,7 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s JOIN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op9_quality, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_mix_sources, op4_lm_score, op9_quality, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
