@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, lm, mixing, quality
+from . import jaccard_join, lm, mixing, quality, secrets
 from ._shared import documents, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base_spans"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"), "n_random")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -70,7 +76,7 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s JOIN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op4_lm_score, op9_quality, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op4_lm_score, op9_quality, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
