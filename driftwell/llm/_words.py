@@ -22,6 +22,11 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: For text compared across case and punctuation: every ASCII byte other than a letter or digit parts words.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[128:] = False
+PUNCTUATION[[c for c in range(128) if chr(c).isalnum()]] = False
+
 _powers: list[np.ndarray] = []
 
 
@@ -66,9 +71,9 @@ def groups(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a buffer."""
-    word = ~SPACE[buf]
+def spans(buf: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a buffer; ``parts``: the bytes between words."""
+    word = ~parts[buf]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if len(word) and word[0]:
         edge = np.concatenate([[0], edge])
@@ -89,7 +94,7 @@ class Words:
 
     __slots__ = ("doc", "hash", "tail")
 
-    def __init__(self, texts: list[bytes], tail: bool = False):
+    def __init__(self, texts: list[bytes], tail: bool = False, parts: np.ndarray = SPACE):
         if len(texts) == 1 and len(texts[0]) > 2 * PIECE:
             pieces = list(_cut(texts[0]))
         else:
@@ -97,7 +102,7 @@ class Words:
         found, tails, starts_all = [], [], None
         for p in pieces:
             buf = np.frombuffer(p, np.uint8)
-            starts, ends = spans(buf)
+            starts, ends = spans(buf, parts)
             found.append(hashes(buf, starts, ends))
             if tail:
                 low = LOWER[buf].astype(np.uint32)

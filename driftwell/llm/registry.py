@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm, mixing, quality, secrets
+from . import decontaminate, jaccard_join, lm, mixing, quality, secrets
 from ._shared import documents, table
 
 
@@ -20,6 +20,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -76,7 +80,7 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s JOIN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op4_lm_score, op9_quality, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op4_lm_score, op5_decontaminate, op9_quality, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
