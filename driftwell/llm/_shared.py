@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,6 +42,39 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(StructType.fromJson(df.schema.jsonValue())).parquet(path)
 
 
+BLOCKS = 64
+
+
+def bit_sieve(hashes: DataFrame) -> np.ndarray:
+    """Bytes marking the hashes ``h`` by their low bits: 8 to 64 MB, however many there are; a join has to tell false marks."""
+    bits = int(min(26, max(23, np.ceil(np.log2(16 * max(1, hashes.count()))))))
+    size = (1 << bits) // BLOCKS
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(1).to_numpy()
+            for k in np.unique(b.column(0).to_numpy()):
+                m = np.zeros(size, bool)
+                m[at[b.column(0).to_numpy() == k]] = True
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(m).tobytes()], pa.binary())], ["block", "m"])
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, np.uint8(0)) | np.frombuffer(m, np.uint8)
+        for k, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([m.tobytes()], pa.binary())], ["block", "m"])
+
+    low = F.col("h").bitwiseAND((1 << bits) - 1)
+    at = hashes.select(F.floor(low / size).cast("long").alias("block"), (low % size).alias("at"))
+    rows = at.mapInArrow(marks, "block long, m binary").repartition(BLOCKS, "block").mapInArrow(union, "block long, m binary").collect()
+    out = np.zeros(1 << bits, bool)
+    for r in rows:
+        out[r.block * size : (r.block + 1) * size] = np.unpackbits(np.frombuffer(r.m, np.uint8))[:size]
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of ``edges``: rows (node, comp), comp the smallest node that links reach.
 

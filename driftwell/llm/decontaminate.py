@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import bit_sieve, materialize
 from ._words import K1, K2, PUNCTUATION, Words, groups, mix, powers, texts_of
 
 LEAST = 5
 COVERAGE = 0.5
-BLOCKS = 64
 
 
 def words_of(texts: list[bytes]) -> Words:
@@ -103,36 +102,6 @@ def _items(benchmark: DataFrame, least: int) -> DataFrame:
     return materialize(one.mapInArrow(rows, "item long, item_id long, n long, width long, words array<long>, seeds array<long>").where("n > 0"))
 
 
-def seed_bits(seeds: DataFrame) -> np.ndarray:
-    """Bytes marking the seeds by their low bits: 8 to 64 MB, whatever the benchmark's size; a join tells false marks."""
-    bits = int(min(26, max(23, np.ceil(np.log2(16 * max(1, seeds.count()))))))
-    size = (1 << bits) // BLOCKS
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(1).to_numpy()
-            for k in np.unique(b.column(0).to_numpy()):
-                m = np.zeros(size, bool)
-                m[at[b.column(0).to_numpy() == k]] = True
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(m).tobytes()], pa.binary())], ["block", "m"])
-
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, np.uint8(0)) | np.frombuffer(m, np.uint8)
-        for k, m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([m.tobytes()], pa.binary())], ["block", "m"])
-
-    low = F.col("h").bitwiseAND((1 << bits) - 1)
-    at = seeds.select(F.floor(low / size).cast("long").alias("block"), (low % size).alias("at"))
-    rows = at.mapInArrow(marks, "block long, m binary").repartition(BLOCKS, "block").mapInArrow(union, "block long, m binary").collect()
-    out = np.zeros(1 << bits, bool)
-    for r in rows:
-        out[r.block * size : (r.block + 1) * size] = np.unpackbits(np.frombuffer(r.m, np.uint8))[:size]
-    return out
-
-
 def _shared_runs(docs: DataFrame, marks, widths: list[int]) -> DataFrame:
     """(t, runs, seeds) of the texts with a marked seed: their words inside such seeds, 0 between the runs."""
 
@@ -177,7 +146,7 @@ def tilings(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
     items = _items(benchmark, least)
     widths = [r.width for r in items.select("width").distinct().collect()] or [least]  # 1 to ``least``
     seeds = materialize(items.select("item", "n", "width", F.explode("seeds").alias("h")))
-    marks = spark.sparkContext.broadcast(seed_bits(seeds))
+    marks = spark.sparkContext.broadcast(bit_sieve(seeds))
     texts = materialize(_shared_runs(docs, marks, widths)).groupBy("t").agg(F.first("runs").alias("runs"), F.first("seeds").alias("seeds"))
     texts = materialize(texts)
     hits = texts.select("t", F.explode("seeds").alias("h")).join(seeds, "h").groupBy("t", "item").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("width").alias("width"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, lm, mixing, quality, secrets
+from . import decontaminate, jaccard_join, line_dedup, lm, mixing, quality, secrets
 from ._shared import documents, table
 
 
@@ -32,6 +32,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(documents(spark, sf_dir), width=3, similarity=(90, 100))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped_lines(documents(spark, sf_dir))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(documents(spark, sf_dir))
 
@@ -80,7 +84,7 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s JOIN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op4_lm_score, op5_decontaminate, op9_quality, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_lm_score, op5_decontaminate, op9_quality, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
