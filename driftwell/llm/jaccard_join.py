@@ -157,8 +157,8 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     Words are lower-cased in A-Z and split at ASCII white space; a text of fewer than ``width`` words is one
     shingle. Two documents link when the intersection of their sets is at least ``similarity`` of the union, tested
     in integers; component_id is the smallest doc_id that links reach. Null, empty and blank texts have no shingles
-    and link with nothing. Rows that repeat an id count as documents of their own; a null id is the component of
-    its own text unless others share it. Columns other than doc_id and text are not read. An empty table gives none.
+    and link with nothing. Rows that repeat an id count as documents of their own; a set that only documents with
+    null ids have links with no other. Columns other than doc_id and text are not read. An empty table gives none.
     """
     at_least, of = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -195,3 +195,17 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     final = reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     return out.join(final, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """``docs`` with one document of each component of ``link_documents``, that with the smallest id; columns as they are.
+
+    Rows equal in id and text are one document and stay once. Documents without shingles all stay, and so do those
+    with null ids unless their set has an id elsewhere.
+    """
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    if not repeated.isEmpty():
+        docs = materialize(docs.dropDuplicates(["doc_id", "text"]))
+    linked = link_documents(docs, width, similarity, sketch_bits)
+    gone = materialize(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")

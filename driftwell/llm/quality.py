@@ -160,3 +160,23 @@ def classify(docs: DataFrame, labels: DataFrame, own: float = 0.5, round_share:
     vectors = document_vectors(docs)
     model = fit(vectors, labels.select("doc_id", F.col("quality").alias("label")).where(~held_out()), own, round_share)
     return score(vectors, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, own: float = 0.5, round_share: float = 0.05) -> DataFrame:
+    """``docs`` without those whose score is under 0.5; columns as they are, and every row judged by its own text.
+
+    Trained as in ``classify``, but on the labelled documents of ``docs`` alone; the score is a column expression of
+    the text, so no join moves the texts.
+    """
+    labels = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
+    model = fit(document_vectors(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels, own, round_share)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def good(text: pd.Series) -> pd.Series:
+        texts = [(t or "").encode() for t in text]
+        parts = [posterior(model, features(texts[i:j])) for i, j in groups(texts)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.where(good(F.col("text")) >= 0.5)
