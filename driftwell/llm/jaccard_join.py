@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, materialize
+from ._shared import components, materialize, sifted
 from ._words import Words, groups, mix, shingles, texts_of
 
 SKETCH_BITS = 20
@@ -135,10 +135,10 @@ def _verified(of: int, at_least: int):
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, ranks, of: int, at_least: int) -> DataFrame:
     """The pairs of classes (a, b) whose whole sets are similar. Only documents that stand for such a class are read again."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"))
-    some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = document_sets(some, width, ranks, of, at_least, whole=True).select("cls", "s").groupBy("cls").agg(F.first("s").alias("s"))
-    sets = materialize(sets)
+    wanted = materialize(classes.join(wanted, "cls", "left_semi").select("cls", F.xxhash64("rep").alias("h")))
+    some = sifted(docs.select("doc_id", "text"), F.xxhash64("doc_id"), wanted)
+    sets = document_sets(some, width, ranks, of, at_least, whole=True).select("cls", "s").join(wanted.select("cls"), "cls", "left_semi")
+    sets = materialize(sets.groupBy("cls").agg(F.first("s").alias("s")))
     left, right = (sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(_verified(of, at_least), "a long, b long")
