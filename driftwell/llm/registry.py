@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, lm, mixing, quality, secrets
+from . import decontaminate, fingerprint, jaccard_join, line_dedup, lm, mixing, quality, secrets
 from ._shared import documents, table
 
 
@@ -24,6 +24,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -84,7 +88,7 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s JOIN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_lm_score, op5_decontaminate, op9_quality, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_lm_score, op5_decontaminate, op8_fingerprint, op9_quality, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
