@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, line_dedup, lm, mixing, quality, secrets
+from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, lm, mixing, quality, secrets, token_counts
 from ._shared import documents, table
 
 
@@ -24,6 +24,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.read_pieces())
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
@@ -88,7 +96,7 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s JOIN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_lm_score, op5_decontaminate, op8_fingerprint, op9_quality, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_lm_score, op5_decontaminate, op6_license_scan, op7_token_counts, op8_fingerprint, op9_quality, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
