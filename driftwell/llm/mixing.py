@@ -18,6 +18,7 @@ from ._shared import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
+SMALL = 10_000  # sources that one window ranks; more are ranked by range partitions and their counts
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -60,7 +61,7 @@ def _rank(by: DataFrame) -> DataFrame:
     spark = by.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = materialize(by)
-    if by.count() <= 10_000:  # one small window; beyond that, parts and their counts
+    if by.count() <= SMALL:
         from pyspark.sql import Window
 
         return by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)

@@ -1,7 +1,8 @@
 """Secret scans (operator 1), DataFrame functions only.
 
 Three fixed patterns give the base spans. The method adds strings that look random: of every long run of key
-characters the encoding is inferred, and its characters are tested for uniformity (chi-squared), runs about the
+characters the encoding is inferred, and its characters are tested for uniformity (chi-squared over
+characters and over kinds of them), runs about the
 middle of the alphabet and serial correlation. How many equal pairs of characters a string of its length would have
 were it ordinary text gives a second p-value; within strata of encoding and length those p-values are held by the
 Benjamini-Hochberg step-up over all strings of the corpus, so that short strings, which cannot tell, are not reported.
@@ -63,8 +64,14 @@ def _two_sided(z: Column) -> Column:
     return 2 * _tail_below(-F.abs(z))
 
 
+def _chi_tail(chi: Column, df: Column) -> Column:
+    """Upper tail of chi-squared, by the cube-root approximation."""
+    z = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    return _tail_below(-z)
+
+
 def battery(x: Column) -> Column:
-    """Struct of a string's encoding, length and p-values: p_random (least of the three tests, times three) and p_text."""
+    """Struct of a string's encoding, length and p-values: p_random (least of the tests, times four) and p_text."""
     name = F.lit(None).cast("string")
     alphabet = F.lit(None).cast("string")
     for n, pattern, letters in reversed(ENCODINGS):
@@ -78,8 +85,11 @@ def battery(x: Column) -> Column:
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(core, c, F.lit(""))), F.lit(2)))
     chi = k / n * squares - n
     df = k - 1
-    wilson = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    p_chi = F.when(wilson > 0, _tail_below(-wilson)).otherwise(1 - _tail_below(wilson))
+    p_chi = _chi_tail(chi, df)
+    # the same over upper-case letters, lower-case ones and the rest, whose cells are never small
+    rest = [(F.length(F.regexp_replace(core, out, "")), F.length(F.regexp_replace(alphabet, out, "")) / k) for out in ("[^A-Z]", "[^a-z]", "[A-Za-z]")]
+    kinds = sum((F.when(share > 0, F.pow(count - n * share, F.lit(2)) / (n * share)).otherwise(0.0) for count, share in rest), F.lit(0.0))
+    p_kinds = _chi_tail(kinds, sum((F.when(share > 0, 1.0).otherwise(0.0) for _, share in rest), F.lit(-1.0)))
     # places in the alphabet, centred; runs above and below its middle; correlation of neighbours
     places = F.transform(chars, lambda c: F.position(c, alphabet) - (k + 1) / 2)
     start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(1.0).alias("runs"), F.lit(0.0).alias("high"), F.lit(0.0).alias("serial"), F.lit(0.0).alias("square"))
@@ -106,18 +116,18 @@ def battery(x: Column) -> Column:
     pairs = (squares - n) / 2
     expected = F.greatest(1.73 / k, F.lit(TEXT_COLLISION)) * n * (n - 1) / 2
     p_text = _tail_below((pairs + 0.5 - expected) / F.sqrt(1.5 * expected))
-    return F.struct(name.alias("encoding"), F.length(core).alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_order)).alias("p_random"), p_text.alias("p_text"))
+    return F.struct(name.alias("encoding"), F.length(core).alias("n"), F.least(F.lit(1.0), 4 * F.least(p_chi, p_kinds, p_order)).alias("p_random"), p_text.alias("p_text"))
 
 
 GRID = 100.0  # steps of the p-values' scale: hundredths of a natural logarithm, rounded towards 1
 
 
-def scan(docs: DataFrame, rate: float = 0.05, least_random: float = 0.001) -> DataFrame:
+def scan(docs: DataFrame, rate: float = 0.05, least_random: float = 0.01) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, n_random, base_spans, spans), one for each row of ``docs``.
 
     base_spans: struct (kind, start, end) of every base match, by start and then kind in the order of KINDS.
     spans: these and strings outside the base spans that the tests call random (least p-value of the battery, times
-    three, at least ``least_random``) and that the step-up at ``rate`` in their stratum does not take for text.
+    four, at least ``least_random``) and that the step-up at ``rate`` in their stratum does not take for text.
     Null text is empty. Repeated rows are scanned each, and their strings count each in the step-up. An empty table
     gives none; columns other than doc_id and text are not read. The thresholds sent back are one row for each of
     the strata, at most encodings x 8.
