@@ -21,7 +21,8 @@ from ._words import groups, texts_of
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A word with the one space before it; white space, but for that space, by itself.
 PRE_TOKEN = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
-REMEMBERED = 400_000  # pre-tokens whose counts a task keeps
+REMEMBERED = 300_000  # pre-tokens whose counts a task keeps
+NODES = 1_000_000  # nodes from which a task starts a new trie
 
 
 def read_pieces(path: str = VOCABULARY) -> dict[bytes, float]:
@@ -33,49 +34,57 @@ def read_pieces(path: str = VOCABULARY) -> dict[bytes, float]:
 
 
 class Pieces:
-    """Scores of the pieces, and the lengths that pieces with the same last two bytes have."""
+    """Scores of the pieces, and for the last one to three bytes of a prefix the lengths that a piece at its end can have."""
 
     def __init__(self, scores: dict[bytes, float]):
         self.scores = scores
         ends: dict[bytes, set[int]] = {}
         for p in scores:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {e: tuple(sorted(n)) for e, n in ends.items()}
+            ends.setdefault(p[-3:], set()).add(len(p))
+        shorter = lambda e: {n for n in (1, 2) if n < len(e) and e[-n:] in scores}
+        self.lengths = {e: tuple(sorted(n | shorter(e))) for e, n in ends.items()}
 
 
 class Trie:
-    """Prefixes with their best scores and, at equal scores, least numbers of tokens. A prefix no pieces make has none."""
+    """Prefixes with their best scores and, at equal scores, least numbers of tokens. A prefix no pieces make has none (-1).
+
+    A node is a number; the edge by a byte is kept under node * 256 + byte.
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.children: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}
         self.score: list[float] = [0.0]
         self.tokens: list[int] = [0]
 
     def insert(self, word: bytes) -> int:
         """The number of tokens of ``word``, -1 if no pieces make it."""
-        scores, lengths = self.pieces.scores, self.pieces.lengths
-        node, path = 0, [0]
-        for d in range(1, len(word) + 1):
-            nxt = self.children[node].get(word[d - 1])
-            if nxt is None:
+        child, score, tokens = self.child, self.score, self.tokens
+        piece, lengths = self.pieces.scores.get, self.pieces.lengths.get
+        node, path, d = 0, [0], 0
+        for byte in word:
+            d += 1
+            edge = node << 8 | byte
+            node = child.get(edge, 0)
+            if not node:
                 best, count = -np.inf, -1
-                for n in lengths.get(word[d - 1 : d], ()) + (lengths.get(word[d - 2 : d], ()) if d > 1 else ()):
+                end = word[d - 3 if d > 3 else 0 : d]
+                fit = lengths(end) or lengths(end[-2:]) or lengths(end[-1:], ())
+                for n in fit:
                     if n > d:
                         break
-                    above = path[d - n]
-                    if self.tokens[above] >= 0 and (p := scores.get(word[d - n : d])) is not None:
-                        s, c = self.score[above] + p, self.tokens[above] + 1
-                        if s > best or (s == best and c < count):
-                            best, count = s, c
-                nxt = len(self.score)
-                self.children[node][word[d - 1]] = nxt
-                self.children.append({})
-                self.score.append(best)
-                self.tokens.append(count)
-            node = nxt
+                    p = piece(word[d - n : d])
+                    if p is not None:
+                        above = path[d - n]
+                        if tokens[above] >= 0:
+                            s = score[above] + p
+                            if s > best or (s == best and tokens[above] + 1 < count):
+                                best, count = s, tokens[above] + 1
+                node = child[edge] = len(score)
+                score.append(best)
+                tokens.append(count)
             path.append(node)
-        return self.tokens[node]
+        return tokens[node]
 
 
 def count_tokens(docs: DataFrame, pieces: dict[bytes, float]) -> DataFrame:
@@ -88,6 +97,7 @@ def count_tokens(docs: DataFrame, pieces: dict[bytes, float]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        trie = Trie(sent.value)
         for b in batches:
             texts = texts_of(b.column(1))
             for i, j in groups(texts):
@@ -96,7 +106,8 @@ def count_tokens(docs: DataFrame, pieces: dict[bytes, float]) -> DataFrame:
                 if len(known) + len(new) > REMEMBERED:
                     known.clear()
                     new = set().union(*words)
-                trie = Trie(sent.value)
+                if len(trie.score) > NODES:
+                    trie = Trie(sent.value)
                 for w in new:
                     n = trie.insert(w)
                     known[w] = n if n >= 0 else len(w)
