@@ -137,9 +137,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, r
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = materialize(classes.join(wanted, "cls", "left_semi").select("cls", F.xxhash64("rep").alias("h")))
     some = sifted(docs.select("doc_id", "text"), F.xxhash64("doc_id"), wanted)
-    sets = document_sets(some, width, ranks, of, at_least, whole=True).select("cls", "s").join(wanted.select("cls"), "cls", "left_semi")
-    sets = materialize(sets.groupBy("cls").agg(F.first("s").alias("s")))
-    left, right = (sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    # A class may come twice, from rows that repeat an id, or unasked, from the sieve; neither makes a wrong edge. The
+    # exchange of the sets serves both joins, and with nothing between it and them a hub's pairs can be split.
+    sets = document_sets(some, width, ranks, of, at_least, whole=True)
+    left, right = (sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}")).hint("merge") for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(_verified(of, at_least), "a long, b long")
 
@@ -167,7 +168,7 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     classes = materialize(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s")))
     entries = classes.where(F.col("rep").isNotNull()).select("cls", "n", F.posexplode("s").alias("pos", "k"))
     hubs = entries.groupBy("k").agg(F.min(F.struct("pos", "n", "cls")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    shared = materialize(entries.join(hubs, "k").select("k", "cls", "n", "pos", "hub", "c"))
+    shared = materialize(entries.join(hubs.hint("merge"), "k").select("k", "cls", "n", "pos", "hub", "c"))
 
     def pairs(x: DataFrame, y: DataFrame, *more: F.Column) -> DataFrame:
         on = (F.col("x.k") == F.col("y.k")) & (F.col("x.cls") < F.col("y.cls")) & _similar(of, at_least, "x", "y")
