@@ -1,8 +1,8 @@
 """The query catalogue: operators applied to the tables, with DuckDB SQL for each that SQL can express."""
 
-from . import lifecycle, relational, similarity
+from . import lifecycle, profiles, relational, similarity
 
-PARTS = (relational.CATALOGUE, similarity.CATALOGUE, lifecycle.CATALOGUE)
+PARTS = (relational.CATALOGUE, similarity.CATALOGUE, lifecycle.CATALOGUE, profiles.CATALOGUE)
 
 
 def all_queries() -> dict:
