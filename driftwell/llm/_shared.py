@@ -75,19 +75,6 @@ def bit_sieve(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def sifted(df: DataFrame, key, hashes: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among the hashes ``h``, without a shuffle of ``df``; a join has to tell the false ones."""
-    marks = df.sparkSession.sparkContext.broadcast(bit_sieve(hashes))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marks.value
-        for b in batches:
-            hit = bits[b.column(b.num_columns - 1).to_numpy() & (len(bits) - 1)]
-            yield b.select(range(b.num_columns - 1)).filter(pa.array(hit))
-
-    return df.withColumn("_key", key).mapInArrow(rows, df.schema)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of ``edges``: rows (node, comp), comp the smallest node that links reach.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, materialize, sifted
+from ._shared import bit_sieve, components, materialize
 from ._words import Words, groups, mix, shingles, texts_of
 
 SKETCH_BITS = 20
@@ -85,64 +85,51 @@ def _lists(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[index]))
 
 
-def document_sets(docs: DataFrame, width: int, ranks, of: int, at_least: int, whole: bool) -> DataFrame:
-    """(doc_id, n, cls, s): the set's size and class, and its prefix, or all of it."""
+def document_sets(docs: DataFrame, width: int, ranks, of: int, at_least: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n, cls, s): the set's size and class, and its prefix; with ``wanted``, all of it.
+
+    wanted: hashes ``h`` of ids; a sieve in the task leaves other documents out, but for a few.
+    """
     names = ["doc_id", "n", "cls", "s"]
+    marks = None if wanted is None else docs.sparkSession.sparkContext.broadcast(bit_sieve(wanted))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if marks is not None:
+                b = b.filter(pa.array(marks.value[b.column(2).to_numpy() & (len(marks.value) - 1)]))
             texts = texts_of(b.column(1))
             for i, j in groups(texts):
                 size, cls, s = ordered_sets(texts[i:j], width, ranks.value)
-                take = size if whole else np.where(size > 0, size - -(-at_least * size // of) + 1, 0)
+                take = np.where(size > 0, size - -(-at_least * size // of) + 1, 0) if marks is None else size
                 starts = np.concatenate([[0], np.cumsum(size)[:-1]])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(cls), _lists(s, starts, take)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, cls long, s array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(rows, "doc_id long, n long, cls long, s array<long>")
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
+def suffix_bound(x: F.Column, y: F.Column) -> F.Column:
     """At least so many elements are in one of two sorted sets alone: halves of y against the parts of x around its middle."""
-    if not depth or not len(x) or not len(y):
-        return abs(len(x) - len(y))
-    m = len(y) // 2
-    k = int(np.searchsorted(x, y[m]))
-    hit = k < len(x) and x[k] == y[m]
-    return suffix_bound(x[:k], y[:m], depth - 1) + suffix_bound(x[k + hit :], y[m + 1 :], depth - 1) + (not hit)
-
-
-def _verified(of: int, at_least: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            sa, sb = b.column(2), b.column(3)
-            va, vb = sa.values.to_numpy(), sb.values.to_numpy()
-            oa, ob = sa.offsets.to_numpy(), sb.offsets.to_numpy()
-            for i in range(b.num_rows):
-                x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                both = len(x) + len(y)
-                if (of + at_least) * (both - suffix_bound(x, y, 2)) < 2 * at_least * both:
-                    continue
-                k = np.searchsorted(x, y)
-                common = int((x[np.minimum(k, len(x) - 1)] == y).sum())
-                if of * common >= at_least * (both - common):
-                    keep.append(i)
-            yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return rows
+    nx, ny = F.size(x), F.size(y)
+    left = F.floor(ny / 2).cast("int")
+    middle = F.element_at(y, left + 1)
+    below = F.size(F.filter(x, lambda v: v < middle))
+    hit = F.array_contains(x, middle).cast("int")
+    return F.abs(below - left) + F.abs((nx - below - hit) - (ny - left - 1)) + 1 - hit
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, ranks, of: int, at_least: int) -> DataFrame:
     """The pairs of classes (a, b) whose whole sets are similar. Only documents that stand for such a class are read again."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = materialize(classes.join(wanted, "cls", "left_semi").select("cls", F.xxhash64("rep").alias("h")))
-    some = sifted(docs.select("doc_id", "text"), F.xxhash64("doc_id"), wanted)
     # A class may come twice, from rows that repeat an id, or unasked, from the sieve; neither makes a wrong edge. The
     # exchange of the sets serves both joins, and with nothing between it and them a hub's pairs can be split.
-    sets = document_sets(some, width, ranks, of, at_least, whole=True)
+    sets = document_sets(docs, width, ranks, of, at_least, wanted)
     left, right = (sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}")).hint("merge") for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_verified(of, at_least), "a long, b long")
+    joined = pairs.join(left, "a").join(right, "b")
+    both = F.size("sa") + F.size("sb")
+    near = (of + at_least) * (both - suffix_bound(F.col("sa"), F.col("sb"))) >= 2 * at_least * both
+    common = F.size(F.array_intersect("sa", "sb"))
+    return joined.where(near & (of * common >= at_least * (both - common))).select("a", "b")
 
 
 def _similar(of: int, at_least: int, x: str, y: str) -> F.Column:
@@ -164,7 +151,7 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     at_least, of = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(docs, width, sketch_bits))
-    sets = materialize(document_sets(docs, width, ranks, of, at_least, whole=False))
+    sets = materialize(document_sets(docs, width, ranks, of, at_least))
     classes = materialize(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s")))
     entries = classes.where(F.col("rep").isNotNull()).select("cls", "n", F.posexplode("s").alias("pos", "k"))
     hubs = entries.groupBy("k").agg(F.min(F.struct("pos", "n", "cls")).alias("hub"), F.count("*").alias("c")).where("c > 1")

@@ -68,11 +68,13 @@ def test_one_of_each_keeps_columns_and_clean_rows(awkward, empty):
     assert jaccard_join.one_of_each(empty).collect() == []
 
 
-def test_suffix_bound_never_exceeds_the_difference():
+def test_suffix_bound_never_exceeds_the_difference(spark):
+    from pyspark.sql import functions as F
+
     r = np.random.default_rng(3)
-    for _ in range(300):
-        x, y = (np.unique(r.integers(0, 60, r.integers(1, 40))) for _ in "ab")
-        assert jaccard_join.suffix_bound(x, y, 2) <= len(set(x) ^ set(y))
+    pairs = [tuple(np.unique(r.integers(0, 60, r.integers(1, 40))).tolist() for _ in "ab") for _ in range(300)]
+    rows = spark.createDataFrame(pairs, "x array<long>, y array<long>").select("x", "y", jaccard_join.suffix_bound(F.col("x"), F.col("y")).alias("b")).collect()
+    assert all(0 <= q.b <= len(set(q.x) ^ set(q.y)) for q in rows) and any(q.b > abs(len(q.x) - len(q.y)) for q in rows)
 
 
 def test_long_texts_are_read_whole(longest):
