@@ -154,8 +154,8 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     sets = materialize(document_sets(docs, width, ranks, of, at_least))
     classes = materialize(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s")))
     entries = classes.where(F.col("rep").isNotNull()).select("cls", "n", F.posexplode("s").alias("pos", "k"))
-    hubs = entries.groupBy("k").agg(F.min(F.struct("pos", "n", "cls")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    shared = materialize(entries.join(hubs.hint("merge"), "k").select("k", "cls", "n", "pos", "hub", "c"))
+    counts = entries.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialize(entries.join(counts.hint("merge"), "k").select("k", "cls", "n", "pos", "c"))
 
     def pairs(x: DataFrame, y: DataFrame, *more: F.Column) -> DataFrame:
         on = (F.col("x.k") == F.col("y.k")) & (F.col("x.cls") < F.col("y.cls")) & _similar(of, at_least, "x", "y")
@@ -163,14 +163,15 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
             on &= m
         return x.alias("x").join(y.alias("y"), on).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
-    few, many = shared.where(F.col("c") <= FEW).drop("hub", "c"), shared.where(F.col("c") > FEW)
-    me = F.struct("pos", "n", "cls").alias("me")
-    to_hub = many.select(me, "hub").where((F.col("me.cls") != F.col("hub.cls")) & _similar(of, at_least, "me", "hub"))
+    few, many = shared.where(F.col("c") <= FEW).drop("c"), shared.where(F.col("c") > FEW).drop("c")
+    place = F.struct("pos", "n", "cls")
+    hubs = many.groupBy("k").agg(F.min(place).alias("hub"))
+    to_hub = many.join(hubs, "k").select(place.alias("me"), "hub").where((F.col("me.cls") != F.col("hub.cls")) & _similar(of, at_least, "me", "hub"))
     to_hub = to_hub.select(F.least("me.cls", "hub.cls").alias("a"), F.greatest("me.cls", "hub.cls").alias("b"))
     first = materialize(pairs(few, few).union(to_hub).distinct())
     edges = materialize(_verify(docs, first, classes, width, ranks, of, at_least))
     parts = components(edges)
-    many = many.select("k", "cls", "n", "pos").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    many = many.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     many = materialize(many)
     rest = materialize(pairs(many, many, F.col("x.comp") != F.col("y.comp")).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
