@@ -181,7 +181,7 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     joined = parts.withColumnRenamed("node", "cls").join(reps, "cls")
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     linked = joined.select("cls", "comp").join(least, "comp").select("cls", "component_id")
-    final = reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
+    final = materialize(reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id")))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     return out.join(final, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
