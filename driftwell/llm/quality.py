@@ -165,11 +165,11 @@ def classify(docs: DataFrame, labels: DataFrame, own: float = 0.5, round_share:
 def keep_good(docs: DataFrame, labels: DataFrame, own: float = 0.5, round_share: float = 0.05) -> DataFrame:
     """``docs`` without those whose score is under 0.5; columns as they are, and every row judged by its own text.
 
-    Trained as in ``classify``, but on the labelled documents of ``docs`` alone; the score is a column expression of
-    the text, so no join moves the texts.
+    Trained as in ``classify``, on the labelled documents of ``docs``. Only the short vectors meet the labels and the
+    score is a column expression of the text, so no join moves the texts.
     """
     labels = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
-    model = fit(document_vectors(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels, own, round_share)
+    model = fit(document_vectors(docs), labels, own, round_share)
     if model is None:
         return docs
 
