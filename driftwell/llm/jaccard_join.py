@@ -88,9 +88,11 @@ def _lists(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Ar
 def document_sets(docs: DataFrame, width: int, ranks, of: int, at_least: int, wanted: DataFrame | None = None) -> DataFrame:
     """(doc_id, n, cls, s): the set's size and class, and its prefix; with ``wanted``, all of it.
 
-    wanted: hashes ``h`` of ids; a sieve in the task leaves other documents out, but for a few.
+    wanted: hashes ``h`` of ids; a sieve in the task leaves other documents out, but for a few. A column ``t`` of
+    ``docs`` (hash of the text) comes along.
     """
-    names = ["doc_id", "n", "cls", "s"]
+    more = [c for c in docs.columns if c == "t"]
+    names = ["doc_id", "n", "cls", "s", *more]
     marks = None if wanted is None else docs.sparkSession.sparkContext.broadcast(bit_sieve(wanted))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +104,9 @@ def document_sets(docs: DataFrame, width: int, ranks, of: int, at_least: int, wa
                 size, cls, s = ordered_sets(texts[i:j], width, ranks.value)
                 take = np.where(size > 0, size - -(-at_least * size // of) + 1, 0) if marks is None else size
                 starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(cls), _lists(s, starts, take)], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(cls), _lists(s, starts, take), *(b.column(3 + k).slice(i, j - i) for k in range(len(more)))], names)
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(rows, "doc_id long, n long, cls long, s array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"), *more).mapInArrow(rows, "doc_id long, n long, cls long, s array<long>" + "".join(f", {c} long" for c in more))
 
 
 def suffix_bound(x: F.Column, y: F.Column) -> F.Column:
@@ -148,8 +150,13 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     and link with nothing. Rows that repeat an id count as documents of their own; a set that only documents with
     null ids have links with no other. Columns other than doc_id and text are not read. An empty table gives none.
     """
-    at_least, of = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _linked(docs, width, similarity, sketch_bits).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, width: int, similarity: tuple[int, int], sketch_bits: int) -> DataFrame:
+    """Rows of ``link_documents`` with ``comp``, the component itself (an id may be in several), and ``t`` where ``docs`` has it."""
+    at_least, of = similarity
     ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(docs, width, sketch_bits))
     sets = materialize(document_sets(docs, width, ranks, of, at_least))
     classes = materialize(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s")))
@@ -180,21 +187,33 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     reps = classes.select("cls", "rep")
     joined = parts.withColumnRenamed("node", "cls").join(reps, "cls")
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    linked = joined.select("cls", "comp").join(least, "comp").select("cls", "component_id")
-    final = materialize(reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id")))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
-    return out.join(final, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = joined.select("cls", "comp").join(least, "comp").select("cls", "comp", "component_id")
+    final = materialize(reps.join(linked, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("component_id", "rep").alias("component_id")))
+    more = [c for c in sets.columns if c == "t"]
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"), *more)
+    return out.join(final, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "comp", *more)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """``docs`` with one document of each component of ``link_documents``, that with the smallest id; columns as they are.
 
-    Rows equal in id and text are one document and stay once. Documents without shingles all stay, and so do those
-    with null ids unless their set has an id elsewhere.
+    A document is its id and the xxhash64 of its text, so rows that share an id stay or go each by its own text; of
+    several texts of the smallest id in one component that with the smallest hash stays. Rows equal in id and text
+    are one document and stay once. Documents without shingles all stay, and so do those with null ids unless their
+    set has an id elsewhere.
     """
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    if not repeated.isEmpty():
+    several = not repeated.isEmpty()
+    if several:
         docs = materialize(docs.dropDuplicates(["doc_id", "text"]))
-    linked = link_documents(docs, width, similarity, sketch_bits)
-    gone = materialize(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    linked = _linked(keyed, width, similarity, sketch_bits)
+    if several:
+        linked = materialize(linked)
+    gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    if several:
+        own = linked.where((F.col("doc_id") == F.col("component_id")) & F.col("comp").isNotNull())
+        least = own.groupBy("comp").agg(F.min("t").alias("least"), F.count("*").alias("c")).where("c > 1")
+        gone = gone.union(own.join(least, "comp").where("t <> least").select("doc_id", "t"))
+    gone = materialize(gone.distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")

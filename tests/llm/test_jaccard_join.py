@@ -68,6 +68,15 @@ def test_one_of_each_keeps_columns_and_clean_rows(awkward, empty):
     assert jaccard_join.one_of_each(empty).collect() == []
 
 
+def test_one_of_each_parts_rows_that_share_an_id(spark):
+    near = prose(44, 60).replace("\n", " ").split(" ")
+    other = [*near[:-1], "changed"]
+    rows = [(1, prose(40, 60)), (None, prose(40, 60)), (None, prose(41, 60)), (None, None), (2, prose(42, 60)), (3, prose(42, 60)), (3, prose(43, 60)), (4, " ".join(near)), (4, " ".join(other))]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()]
+    assert len(kept) == 6 and set(kept[:]) >= {rows[k] for k in (0, 2, 3, 4, 6)}
+    assert sum(d == 4 for d, _ in kept) == 1
+
+
 def test_suffix_bound_never_exceeds_the_difference(spark):
     from pyspark.sql import functions as F
 
