@@ -28,6 +28,8 @@ ENCODINGS = (
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("crockford", r"^[0-9A-HJKMNP-TV-Z]+=*$", "0123456789ABCDEFGHJKMNPQRSTVWXYZ"),
+    ("BASE36", r"^[0-9A-Z]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base64", r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
@@ -54,6 +56,28 @@ def matches(text: Column, pattern: str, ok) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(both, zero, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
+def parts(found: Column) -> Column:
+    """The runs of ``found`` (start, end, match), those that fit no encoding by the parts between their separators.
+
+    A run with both of + / and of _ - is parted at each /, and a part that still has + beside _ or - at each +; parts
+    of 20 key characters or more with a letter and a digit stay.
+    """
+    neither = lambda x: x.rlike("[+/]") & x.rlike("[_-]")
+    zero = lambda m: F.struct(m["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x)
+        hit = F.struct(acc["at"].alias("start"), end.alias("end"), x.alias("match"))
+        ok = x.rlike("^[^=]{20,}") & x.rlike("[A-Za-z]") & x.rlike("[0-9]")
+        return F.struct((end + 1).alias("at"), F.when(ok, F.array_append(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+
+    def of(m: Column) -> Column:
+        pieces = F.flatten(F.transform(F.split(m["match"], "/", -1), lambda x: F.when(neither(x), F.split(x, "[+]", -1)).otherwise(F.array(x))))
+        return F.when(neither(m["match"]), F.aggregate(pieces, zero(m), step, lambda a: a["out"])).otherwise(F.array(m))
+
+    return F.flatten(F.transform(found, of))
+
+
 def _tail_below(z: Column) -> Column:
     """Normal distribution function, by its logistic approximation."""
     z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
@@ -128,8 +152,8 @@ def scan(docs: DataFrame, rate: float = 0.05, least_random: float = 0.01) -> Dat
     base_spans: struct (kind, start, end) of every base match, by start and then kind in the order of KINDS.
     spans: these and strings outside the base spans that the tests call random (least p-value of the battery, times
     four, at least ``least_random``) and that the step-up at ``rate`` in their stratum does not take for text.
-    Null text is empty. Repeated rows are scanned each, and their strings count each in the step-up. An empty table
-    gives none; columns other than doc_id and text are not read. The thresholds sent back are one row for each of
+    Null text is empty. Repeated rows are scanned each and every occurrence of a string is reported; the step-up counts
+    a string once, however often it occurs (strings are known by 64-bit hashes). An empty table gives none; columns other than doc_id and text are not read. The thresholds sent back are one row for each of
     the strata, at most encodings x 8.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -139,7 +163,7 @@ def scan(docs: DataFrame, rate: float = 0.05, least_random: float = 0.01) -> Dat
         (HEX, lambda m: F.length(m) >= 24),
         (CANDIDATE, lambda m: m.rlike("[A-Za-z]") & m.rlike("[0-9]")),
     )
-    found = docs.select("doc_id", *(matches(text, p, ok).alias(k) for k, (p, ok) in zip(KINDS, checks, strict=True)))
+    found = docs.select("doc_id", *(matches(text, p, ok).alias(k) for k, (p, ok) in zip(KINDS, checks, strict=True))).withColumn("random", parts(F.col("random")))
 
     def kind(name: str) -> Column:
         order = KINDS.index(name)
@@ -149,7 +173,7 @@ def scan(docs: DataFrame, rate: float = 0.05, least_random: float = 0.01) -> Dat
     free = F.filter("random", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     tested = found.withColumn("base", base).select(
         "doc_id", "base", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
-        F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["match"]).alias("b"))).alias("random"),
+        F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(m["match"]).alias("h"), battery(m["match"]).alias("b"))).alias("random"),
     )
     tested = materialize(tested)
 
@@ -159,7 +183,7 @@ def scan(docs: DataFrame, rate: float = 0.05, least_random: float = 0.01) -> Dat
     def step_of(b: Column) -> Column:
         return F.floor(-F.log(b["p_text"]) * GRID)
 
-    strings = tested.select(F.explode("random").alias("r")).select(stratum(F.col("r.b")).alias("stratum"), step_of(F.col("r.b")).alias("step"))
+    strings = tested.select(F.explode("random").alias("r")).select(stratum(F.col("r.b")).alias("stratum"), step_of(F.col("r.b")).alias("step"), F.col("r.h").alias("h")).distinct()
     by = strings.where("stratum IS NOT NULL").groupBy("stratum", "step").agg(F.count("*").alias("c"))
     inside = Window.partitionBy("stratum")
     by = by.withColumn("below", F.sum("c").over(inside.orderBy(F.desc("step")))).withColumn("all", F.sum("c").over(inside))

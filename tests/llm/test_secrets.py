@@ -76,3 +76,20 @@ def test_battery_tells_orders(spark):
     b = [r.b for r in spark.createDataFrame(rows, "x string").select(secrets.battery(F.col("x")).alias("b")).collect()]
     assert b[0].p_random < 1e-3 and b[1].p_random < 1e-3 and b[2].p_random > 0.05
     assert b[1].p_text > 0.9 and b[2].p_text < 0.01 and [x.encoding for x in b] == ["base36", "hex", "hex"]
+
+
+def test_upper_case_keys_keys_in_paths_and_copies(spark):
+    r = random.Random(8)
+    key = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    upper = string.digits + string.ascii_uppercase
+    rows = [(i, f"see {key(upper, 40)} here") for i in range(20)]
+    rows += [(100 + i, f"see {key([c for c in upper if c not in 'ILOU'], 40)} here") for i in range(20)]
+    rows += [(200 + i, f"at é my_dir/part-x/{key(string.ascii_letters + string.digits, 39)}7 there") for i in range(20)]
+    rows += [(300 + i, f"see {key(string.ascii_letters + string.digits, 23)}7 here") for i in range(20)]
+    rows += [(1000 + i, "the TheMeetingRoomNeedsTrees1 there") for i in range(4000)]
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for at, least in ((0, 17), (100, 17), (200, 17), (300, 12)):
+        assert sum(got[at + i].n_random == 1 for i in range(20)) >= least
+    assert all(got[1000 + i].n_random == 0 for i in range(4000))
+    spans = [dict(rows)[200 + i][s.start : s.end] for i in range(20) for s in got[200 + i].spans]
+    assert all(len(x) == 40 and "/" not in x for x in spans)
