@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from ..operators import graph
+from ..runtime import materialize, shared_folder
+
+__all__ = ["Sieve", "bit_sieve", "components", "documents", "materialize", "shared_folder", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,83 +23,60 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset, as in tests, a folder of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="driftwell-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These column names, each with underscores before it until ``df`` has none like it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+BLOCKS = 64
+SIEVE_BITS = 29  # a sieve has 2**29 bits, 64 MB, at most
 
-    Cuts the lineage and survives the loss of executors; the columns stay prunable, unlike with checkpoint().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftwell/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(StructType.fromJson(df.schema.jsonValue())).parquet(path)
 
+class Sieve:
+    """A bit for each value of a hash's low bits; ``has`` says whether a hash may be among those marked."""
 
-BLOCKS = 64
+    def __init__(self, bits: int, marks: np.ndarray):
+        self.mask, self.marks = np.uint64((1 << bits) - 1), marks
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h.view(np.uint64) & self.mask
+        return (self.marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def bit_sieve(hashes: DataFrame) -> np.ndarray:
-    """Bytes marking the hashes ``h`` by their low bits: 8 to 64 MB, however many there are; a join has to tell false marks."""
-    bits = int(min(26, max(23, np.ceil(np.log2(16 * max(1, hashes.count()))))))
+def bit_sieve(hashes: DataFrame) -> Sieve:
+    """The hashes ``h`` by their low bits, sixteen bits for each of them, in all 8 KB to 64 MB.
+
+    A join has to tell false marks. From 2**27 hashes on more than a fifth of what isn't among them passes; from 2**29
+    on the sieve sifts little and that join does all the work.
+    """
+    bits = int(min(SIEVE_BITS, max(16, np.ceil(np.log2(16 * max(1, hashes.count()))))))
     size = (1 << bits) // BLOCKS
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
         for b in batches:
-            at = b.column(1).to_numpy()
-            for k in np.unique(b.column(0).to_numpy()):
-                m = np.zeros(size, bool)
-                m[at[b.column(0).to_numpy() == k]] = True
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(m).tobytes()], pa.binary())], ["block", "m"])
-
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, np.uint8(0)) | np.frombuffer(m, np.uint8)
-        for k, m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([m.tobytes()], pa.binary())], ["block", "m"])
+            block, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in np.unique(block).tolist():
+                if k not in blocks:
+                    blocks[k] = np.zeros(size, bool)
+                blocks[k][at[block == k]] = True
+        for k, m in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(m, bitorder="little").tobytes()], pa.binary())], ["block", "m"])
 
     low = F.col("h").bitwiseAND((1 << bits) - 1)
     at = hashes.select(F.floor(low / size).cast("long").alias("block"), (low % size).alias("at"))
-    rows = at.mapInArrow(marks, "block long, m binary").repartition(BLOCKS, "block").mapInArrow(union, "block long, m binary").collect()
-    out = np.zeros(1 << bits, bool)
-    for r in rows:
-        out[r.block * size : (r.block + 1) * size] = np.unpackbits(np.frombuffer(r.m, np.uint8))[:size]
-    return out
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in at.repartition(BLOCKS, "block").mapInArrow(marks, "block long, m binary").collect():  # 64 rows
+        out[r.block * size // 8 : (r.block + 1) * size // 8] = np.frombuffer(r.m, np.uint8)
+    return Sieve(bits, out)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of ``edges``: rows (node, comp), comp the smallest node that links reach.
-
-    Min-label rounds with pointer jumping: every round takes the smallest label among the neighbours (an
-    aggregation, so a hub is pre-aggregated before the shuffle) and then the label of the label, until nothing
-    changes. Only a count reaches the driver. No edges give no rows; loops and repeated edges do no harm.
-    """
-    both = materialize(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .union(edges.select(F.col(b).alias("u"), F.col(a).alias("v")))
-        .distinct()
-    )
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("v"), "comp"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("comp").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        lower = materialize(lower)
-        of = lower.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        labels = materialize(lower.join(of, "comp").select("node", F.least("comp", "jump").alias("comp"), "was"))
-        if labels.where(F.col("comp") != F.col("was")).isEmpty():
-            return labels.select("node", "comp")
-        labels = labels.select("node", "comp")
+    """Connected components of ``edges``: rows (node, comp), comp the smallest node that links reach."""
+    return graph.components(edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))).withColumnRenamed("component", "comp")

@@ -67,11 +67,11 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int) -> tuple[int, int]:
             break
         a, ha, b, hb = found
         order = np.argsort(hb, kind="stable")
-        for i, h in zip(a, ha, strict=True):
+        hb, b = hb[order], b[order]
+        for i, lo, hi in zip(a, np.searchsorted(hb, ha), np.searchsorted(hb, ha, "right"), strict=True):
             if not free_i[i : i + low].all():
                 continue
-            lo, hi = np.searchsorted(hb[order], h), np.searchsorted(hb[order], h, "right")
-            for j in b[order[lo:hi]]:
+            for j in b[lo:hi]:
                 if free_d[j : j + low].all():
                     free_i[i : i + low] = False
                     free_d[j : j + low] = False
@@ -106,8 +106,6 @@ def _shared_runs(docs: DataFrame, marks, widths: list[int]) -> DataFrame:
     """(t, runs, seeds) of the texts with a marked seed: their words inside such seeds, 0 between the runs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marks.value
-        mask = np.uint64(len(bits) - 1)
         for b in batches:
             texts = texts_of(b.column(1))
             ts = b.column(0).to_numpy()
@@ -118,7 +116,7 @@ def _shared_runs(docs: DataFrame, marks, widths: list[int]) -> DataFrame:
                 found = []
                 for width in widths:
                     h = windows(w.hash, width)
-                    at = np.flatnonzero(bits[(h & mask).astype(np.int64)] & (w.doc[: len(h)] == w.doc[width - 1 :][: len(h)])) if len(h) else np.zeros(0, np.int64)
+                    at = np.flatnonzero(marks.value.has(h) & (w.doc[: len(h)] == w.doc[width - 1 :][: len(h)])) if len(h) else np.zeros(0, np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + width, -1)
                     found.append((w.doc[at], h[at]))

@@ -10,6 +10,7 @@ once on whole sets.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -19,37 +20,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bit_sieve, components, materialize
+from ._shared import bit_sieve, components, materialize, unused
 from ._words import Words, groups, mix, shingles, texts_of
 
-SKETCH_BITS = 20
-BLOCKS = 64
+BLOCKS = 512
+MOST_BITS = 25  # the counters take 32 MB at most
+CELLS = 128  # ranges of hashes by which sets are compared before they move
 FEW = 8  # classes of a shingle of which all pairs are made at once
 
 
-def frequency_ranks(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch_bits(docs: DataFrame) -> int:
+    """Counters, as a power of two, for about one shingle each: an eighth of the texts' bytes, 2**25 at most.
+
+    Beyond some 0.25 GB of text counters are shared; then only shingles clearly more frequent than a counter's mean
+    load are told from rare ones, which costs candidates but no result.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(min(MOST_BITS, max(16, np.ceil(np.log2(size / 8 + 1)))))
+
+
+def frequency_ranks(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """A byte for each of 2**bits counters: the rounded logarithm of how many documents have a shingle of that counter.
 
-    All documents count. Partitions send compressed blocks of counters, summed as they stream in; 2**bits bytes,
-    whatever the input, reach the driver.
+    All documents count; a partition counts to 255, which only the most frequent reach. Partitions send compressed
+    blocks of counters, summed as they stream in; 2**bits bytes reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint64)
+        total = np.zeros(1 << bits, np.uint8)
         for b in batches:
             texts = texts_of(b.column(0))
             for i, j in groups(texts):
                 _, h = shingles(Words(texts[i:j]), j - i, width)
-                total += np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint64)
+                at, c = np.unique((h & np.uint64((1 << bits) - 1)).astype(np.uint32), return_counts=True)
+                total[at] = np.minimum(255, total[at] + c)
         parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(np.split(total, BLOCKS)) if p.any()]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts]), pa.array([p for _, p in parts], pa.binary())], ["block", "counts"])
+        for k, p in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([p], pa.binary())], ["block", "counts"])
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b["block"], b["counts"], strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.uint64)
+                total.setdefault(k, np.zeros((1 << bits) // BLOCKS, np.int64))[:] += np.frombuffer(zlib.decompress(c), np.uint8)
         for k, c in total.items():
             yield pd.DataFrame({"block": [k], "ranks": [np.minimum(255, np.rint(6 * np.log2(c + 1.0))).astype(np.uint8).tobytes()]})
 
@@ -63,8 +76,8 @@ def frequency_ranks(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.
     return out
 
 
-def ordered_sets(texts: list[bytes], width: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text its set's size and class, and all sets one after the other, each with rare shingles first."""
+def ordered_sets(texts: list[bytes], width: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its set's size, class and elements in each cell (127 at most), and all sets one after the other, each with rare shingles first."""
     n = len(texts)
     d, h = shingles(Words(texts), n, width)
     size = np.bincount(d, minlength=n)
@@ -76,7 +89,8 @@ def ordered_sets(texts: list[bytes], width: int, ranks: np.ndarray) -> tuple[np.
         sums[0, full] = np.add.reduceat(mix(h), at)
         sums[1, full] = np.add.reduceat(mix(h + np.uint64(0x632BE59BD9B4E019)), at)
     cls = mix(sums[0] + mix(sums[1] + size.astype(np.uint64)))
-    return size, cls.view(np.int64), key[np.lexsort((key, d))].view(np.int64)
+    cells = np.minimum(127, np.bincount(d * CELLS + (h >> np.uint64(57)).astype(np.int64), minlength=n * CELLS)).astype(np.int8)
+    return size, cls.view(np.int64), cells, key[np.lexsort((key, d))].view(np.int64)
 
 
 def _lists(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -86,27 +100,28 @@ def _lists(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Ar
 
 
 def document_sets(docs: DataFrame, width: int, ranks, of: int, at_least: int, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n, cls, s): the set's size and class, and its prefix; with ``wanted``, all of it.
+    """(doc_id, n, cls, s, cells): the set's size and class, its prefix and its elements by cell; with ``wanted``, all of it and no cells.
 
     wanted: hashes ``h`` of ids; a sieve in the task leaves other documents out, but for a few. A column ``t`` of
     ``docs`` (hash of the text) comes along.
     """
     more = [c for c in docs.columns if c == "t"]
-    names = ["doc_id", "n", "cls", "s", *more]
+    names = ["doc_id", "n", "cls", "s", "cells", *more]
     marks = None if wanted is None else docs.sparkSession.sparkContext.broadcast(bit_sieve(wanted))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if marks is not None:
-                b = b.filter(pa.array(marks.value[b.column(2).to_numpy() & (len(marks.value) - 1)]))
+                b = b.filter(pa.array(marks.value.has(b.column(2).to_numpy())))
             texts = texts_of(b.column(1))
             for i, j in groups(texts):
-                size, cls, s = ordered_sets(texts[i:j], width, ranks.value)
+                size, cls, cells, s = ordered_sets(texts[i:j], width, ranks.value)
                 take = np.where(size > 0, size - -(-at_least * size // of) + 1, 0) if marks is None else size
                 starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(cls), _lists(s, starts, take), *(b.column(3 + k).slice(i, j - i) for k in range(len(more)))], names)
+                held = np.where(size > 0, CELLS, 0) if marks is None else np.zeros(j - i, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(cls), _lists(s, starts, take), _lists(cells, np.arange(j - i) * CELLS, held), *(b.column(3 + k).slice(i, j - i) for k in range(len(more)))], names)
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"), *more).mapInArrow(rows, "doc_id long, n long, cls long, s array<long>" + "".join(f", {c} long" for c in more))
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"), *more).mapInArrow(rows, "doc_id long, n long, cls long, s array<long>, cells array<tinyint>" + "".join(f", {c} long" for c in more))
 
 
 def suffix_bound(x: F.Column, y: F.Column) -> F.Column:
@@ -119,6 +134,14 @@ def suffix_bound(x: F.Column, y: F.Column) -> F.Column:
     return F.abs(below - left) + F.abs((nx - below - hit) - (ny - left - 1)) + 1 - hit
 
 
+def _sifted(pairs: DataFrame, classes: DataFrame, of: int, at_least: int) -> DataFrame:
+    """Suffix filter over ranges of hashes: sets differ at least by what their cells differ; few others than similar pairs stay."""
+    x, y = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")) for c in "ab")
+    both = F.col("na") + F.col("nb")
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, v: s + v)
+    return pairs.join(x, "a").join(y, "b").where((of + at_least) * apart <= (of - at_least) * both).select("a", "b")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, ranks, of: int, at_least: int) -> DataFrame:
     """The pairs of classes (a, b) whose whole sets are similar. Only documents that stand for such a class are read again."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -141,7 +164,7 @@ def _similar(of: int, at_least: int, x: str, y: str) -> F.Column:
     return fits & ((of + at_least) * F.least(nx - px, ny - py) >= at_least * (nx + ny))
 
 
-def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
 
     Words are lower-cased in A-Z and split at ASCII white space; a text of fewer than ``width`` words is one
@@ -151,15 +174,15 @@ def link_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     null ids have links with no other. Columns other than doc_id and text are not read. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _linked(docs, width, similarity, sketch_bits).select("doc_id", "n_shingles", "component_id")
+    return _linked(docs, width, similarity).select("doc_id", "n_shingles", "component_id")
 
 
-def _linked(docs: DataFrame, width: int, similarity: tuple[int, int], sketch_bits: int) -> DataFrame:
+def _linked(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
     """Rows of ``link_documents`` with ``comp``, the component itself (an id may be in several), and ``t`` where ``docs`` has it."""
     at_least, of = similarity
-    ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(docs, width, sketch_bits))
+    ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(docs, width, sketch_bits(docs)))
     sets = materialize(document_sets(docs, width, ranks, of, at_least))
-    classes = materialize(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s")))
+    classes = materialize(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("cells").alias("cells")))
     entries = classes.where(F.col("rep").isNotNull()).select("cls", "n", F.posexplode("s").alias("pos", "k"))
     counts = entries.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     shared = materialize(entries.join(counts.hint("merge"), "k").select("k", "cls", "n", "pos", "c"))
@@ -175,12 +198,16 @@ def _linked(docs: DataFrame, width: int, similarity: tuple[int, int], sketch_bit
     hubs = many.groupBy("k").agg(F.min(place).alias("hub"))
     to_hub = many.join(hubs, "k").select(place.alias("me"), "hub").where((F.col("me.cls") != F.col("hub.cls")) & _similar(of, at_least, "me", "hub"))
     to_hub = to_hub.select(F.least("me.cls", "hub.cls").alias("a"), F.greatest("me.cls", "hub.cls").alias("b"))
-    first = materialize(pairs(few, few).union(to_hub).distinct())
+    first = materialize(_sifted(pairs(few, few).union(to_hub).distinct(), classes, of, at_least))
     edges = materialize(_verify(docs, first, classes, width, ranks, of, at_least))
     parts = components(edges)
-    many = many.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    many = materialize(many)
-    rest = materialize(pairs(many, many, F.col("x.comp") != F.col("y.comp")).join(first, ["a", "b"], "left_anti"))
+    many = materialize(many.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    split = many.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
+    many = materialize(many.join(split, "k", "left_semi").withColumn("band", F.floor(F.log("n") / max(1.0001 * math.log(of / at_least), 1e-6)).cast("long")))
+    # Similar sets are in one band of sizes or in neighbouring ones: bands split what a frequent shingle brings together.
+    near = many.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    rest = pairs(near, many, F.col("x.band") == F.col("y.band"), F.col("x.comp") != F.col("y.comp")).join(first, ["a", "b"], "left_anti")
+    rest = materialize(_sifted(rest, classes, of, at_least))
     if not rest.isEmpty():
         more = materialize(_verify(docs, rest, classes, width, ranks, of, at_least))
         parts = components(edges.union(more))
@@ -194,7 +221,7 @@ def _linked(docs: DataFrame, width: int, similarity: tuple[int, int], sketch_bit
     return out.join(final, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "comp", *more)
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with one document of each component of ``link_documents``, that with the smallest id; columns as they are.
 
     A document is its id and the xxhash64 of its text, so rows that share an id stay or go each by its own text; of
@@ -207,13 +234,14 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (
     if several:
         docs = materialize(docs.dropDuplicates(["doc_id", "text"]))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
-    linked = _linked(keyed, width, similarity, sketch_bits)
+    linked = _linked(keyed, width, similarity)
     if several:
         linked = materialize(linked)
-    gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    ident, text = unused(docs, "_id", "_t")
+    gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(ident), F.col("t").alias(text))
     if several:
         own = linked.where((F.col("doc_id") == F.col("component_id")) & F.col("comp").isNotNull())
         least = own.groupBy("comp").agg(F.min("t").alias("least"), F.count("*").alias("c")).where("c > 1")
         gone = gone.union(own.join(least, "comp").where("t <> least").select("doc_id", "t"))
     gone = materialize(gone.distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(ident)) & (F.xxhash64(docs["text"]) == F.col(text)), "left_anti")

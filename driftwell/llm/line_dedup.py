@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bit_sieve, components, materialize
+from ._shared import bit_sieve, components, materialize, unused
 from ._words import PIECE, SPACE, groups, hashes, mix, powers, texts_of
 
 EDITS = 1
@@ -164,10 +164,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     marks = docs.sparkSession.sparkContext.broadcast(bit_sieve(wanted))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marks.value
         for b in batches:
             for _, lines in lines_of(texts_of(b.column(0))):
-                hit = np.flatnonzero(bits[(lines.hash & np.uint64(len(bits) - 1)).astype(np.int64)])
+                hit = np.flatnonzero(marks.value.has(lines.hash))
                 hit = hit[np.unique(lines.hash[hit], return_index=True)[1]]
                 if len(hit):
                     found = [lines.buf[s:e].tobytes() for s, e in zip(lines.start[hit], lines.end[hit], strict=True)]
@@ -276,13 +275,14 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, long: int = LONG) -> DataFr
 
     Documents that lose every line that isn't blank go; documents that had none stay as they are.
     """
-    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), edits, long).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "dropped")
-    gone = materialize(gone).withColumnRenamed("dropped", "_dropped")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left")
+    ident, key, dropped, cut = unused(docs, "_id", "_t", "_dropped", "_cut")
+    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), edits, long)
+    gone = materialize(gone.select(F.col("doc_id").alias(ident), F.col("t").alias(key), F.col("dropped").alias(dropped)))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(ident)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
     lines = F.split(docs["text"], "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_dropped", i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("_dropped").isNull(), docs["text"]).otherwise(kept)
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(dropped, i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
+    text = F.when(F.col(dropped).isNull(), docs["text"]).otherwise(kept)
     columns = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]
-    out = joined.select(*columns, F.col("_dropped").isNotNull().alias("_cut"))
-    out = out.where(~F.col("_cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_cut")
+    out = joined.select(*columns, F.col(dropped).isNotNull().alias(cut))
+    out = out.where(~F.col(cut) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(cut)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else out

@@ -23,7 +23,7 @@ def prose(seed, n):
     return " ".join(out).replace("\n ", "\n")
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, h string, cls string, label string, size string, k string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, h string, cls string, label string, size string, k string, _id string, _t string, _dropped string, _cut string, row string, _row string"
 
 
 @pytest.fixture(scope="session")
@@ -37,7 +37,7 @@ def awkward(spark):
         (6, "one", "en", "c"), (7, "one two", "fr", "c"), (8, "ONE  Two", "fr", "c"), (9, prose(2, 9000), "en", "b"), (10, "été Ünï — 漢字 𝄞 " * 30, "fr", "b"),
         (11, prose(3, 60), "en", "c"), (11, prose(3, 60), "en", "c"), (12, prose(4, 70), "en", "a"), (12, prose(5, 70), "en", "a"), (None, prose(6, 80), "en", "a"), (None, None, None, "a"),
     ]
-    return spark.createDataFrame([(i, t, lang, s, len(t or ""), 7, "x", "y", "z", "w", "v") for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), 7, "x", "y", "z", "w", "v", "i", "t", "d", "c", "r", "q") for i, t, lang, s in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")
