@@ -26,8 +26,9 @@ STATES = 6
 OWN = 6144  # words that are classes of their own
 TAILS = 2048  # classes of the other words, by their last three bytes
 KNOWN = 1 << 18  # words whose counts every task holds
-ROUNDS = 2
-SEEDS = 512  # documents of the start values
+ROUNDS = 5  # of Baum-Welch over all training texts, at most
+SETTLED = 1e-3  # gain of the summed likelihood from which on rounds go on
+LEAN = 0.9  # share of a text's words that its first state has in the start values
 END = np.uint64(0x0E4D0E4D0E4D0E4D)  # the end's stand-in for a word's hash
 STEP = 1 << 19  # words that one forward-backward run takes at most, but for a longer text
 
@@ -79,6 +80,7 @@ class Vocabulary:
         self.hash, self.count = hashes[order], counts[order]
         self.cls = np.where(own, np.arange(1, len(hashes) + 1), 0)[order]  # 0: by its tail
         self.total, self.distinct = total, distinct
+        self.share = np.concatenate([[self.end], np.pad(counts[own], (0, OWN - own.sum())), tail_total]) / max(1, total)  # by class
         self.tail_log = np.log10(tail_total + tail_distinct + 1.0)  # by class - OWN - 1
         self.base_log = float(np.log10(total + distinct + 1.0))
 
@@ -205,7 +207,7 @@ def forward(model: Model, seqs: list[np.ndarray], counts: dict | None = None) ->
 
 
 def empty_counts(k: int = STATES) -> dict:
-    return {"start": np.zeros(k), "move": np.zeros((k, k)), "emit": np.zeros((N_CLASSES, k))}
+    return {"start": np.zeros(k), "move": np.zeros((k, k)), "emit": np.zeros((N_CLASSES, k)), "log": np.zeros(1)}
 
 
 def sequences(texts: list[bytes], voc: Vocabulary) -> tuple[list[np.ndarray], Words, np.ndarray, np.ndarray]:
@@ -231,30 +233,22 @@ def encode(docs: DataFrame, voc) -> DataFrame:
     return materialize(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(rows, "key long, seq binary"))
 
 
-def expected(encoded: DataFrame, model: Model) -> Model:
-    """One Baum-Welch round over all training texts."""
-    sent = encoded.sparkSession.sparkContext.broadcast(model)  # N_CLASSES x STATES numbers
+def _gathered(encoded: DataFrame, work) -> dict | None:
+    """Counts that ``work(sequences, counts)`` adds up over all training texts; None without texts. A task sends as many numbers as the model has."""
     blocks = 64
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seqs, size = empty_counts(), [], 0
-
-        def run() -> None:
-            length = np.array([len(s) for s in seqs])
-            for group in runs(length):
-                forward(sent.value, [seqs[i] for i in group], total)
-
         for b in batches:
             for s in b.column(1).to_pylist():
                 seqs.append(np.frombuffer(s, np.int16))
                 size += len(seqs[-1])
                 if size > 8 * STEP:
-                    run()
+                    work(seqs, total)
                     seqs, size = [], 0
         if seqs:
-            run()
-        flat = np.concatenate([total["start"], total["move"].ravel(), total["emit"].ravel()])
-        parts = np.array_split(flat, blocks)
+            work(seqs, total)
+        parts = np.array_split(np.concatenate([np.ravel(x) for x in total.values()]), blocks)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "v"])
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,40 +263,57 @@ def expected(encoded: DataFrame, model: Model) -> Model:
     got = encoded.mapInArrow(rows, "block long, v binary").repartition(n, "block").mapInPandas(summed, "block long, v binary").collect()  # as many numbers as the model has
     got = {r.block: np.frombuffer(r.v) for r in got}
     if not got:
-        return model
-    flat = np.concatenate([got[i] for i in range(blocks)])
-    k = len(model.start)
-    return Model.of_counts(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(-1, k))
+        return None
+    flat, out, at = np.concatenate([got[i] for i in range(blocks)]), {}, 0
+    for name, x in empty_counts().items():
+        out[name] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    return out
 
 
-def start_model(seqs: list[np.ndarray], seed: int = 11, rounds: int = 12) -> Model:
-    """Start values from a few texts: a few rounds of expected counts from a random sticky model."""
-    rng = np.random.default_rng(seed)
-    k = STATES
-    counts = empty_counts()
-    for s in seqs:  # each text leans to one state
-        lean = rng.dirichlet(np.full(k, 0.3))
-        for j in range(k):
-            counts["emit"][:, j] += lean[j] * np.bincount(s, minlength=N_CLASSES)
-    move = np.full((k, k), 1.0) + np.eye(k) * 100
-    model = Model.of_counts(np.ones(k), move * 1000, counts["emit"])
+def expected(encoded: DataFrame, model: Model) -> tuple[Model, float]:
+    """One Baum-Welch round over all training texts: the next model, and the summed log10 likelihood by ``model``."""
+    sent = encoded.sparkSession.sparkContext.broadcast(model)  # N_CLASSES x STATES numbers
+
+    def work(seqs: list[np.ndarray], total: dict) -> None:
+        for group in runs(np.array([len(s) for s in seqs])):
+            total["log"] += forward(sent.value, [seqs[i] for i in group], total).sum()
+
+    got = _gathered(encoded, work)
+    return (Model.of_counts(got["start"], got["move"], got["emit"]), float(got["log"][0])) if got else (model, 0.0)
+
+
+def first_states(seqs: list[np.ndarray], share: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """For each text the state whose random direction its words, less the corpus's shares of them, point to most."""
     length = np.array([len(s) for s in seqs])
-    for _ in range(rounds if seqs else 0):
-        total = empty_counts()
-        for group in runs(length):
-            forward(model, [seqs[i] for i in group], total)
-        model = Model.of_counts(total["start"], total["move"], total["emit"])
-    return model
+    sums = np.add.reduceat(lines[np.concatenate(seqs)], np.concatenate([[0], np.cumsum(length)[:-1]]))
+    return np.argmax(sums - length[:, None] * (share @ lines), axis=1)
+
+
+def start_model(encoded: DataFrame, share: np.ndarray, seed: int = 11) -> Model:
+    """Start values from all training texts: a text gives most of its words to the state it points to, and states are sticky."""
+    lines = np.random.default_rng(seed).normal(size=(N_CLASSES, STATES))
+    sent = encoded.sparkSession.sparkContext.broadcast((share, lines))
+
+    def work(seqs: list[np.ndarray], total: dict) -> None:
+        for group in runs(np.array([len(s) for s in seqs])):
+            some = [seqs[i] for i in group]
+            state = np.repeat(first_states(some, *sent.value), [len(s) for s in some])
+            words = np.bincount(np.concatenate(some).astype(np.int64) * STATES + state, minlength=N_CLASSES * STATES).reshape(-1, STATES)
+            total["emit"] += LEAN * words + (1 - LEAN) / STATES * words.sum(axis=1, keepdims=True)
+
+    got = _gathered(encoded, work) or empty_counts()
+    return Model.of_counts(np.ones(STATES), 1000 * (1 + 100 * np.eye(STATES)), got["emit"])
 
 
-def train(encoded: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS) -> Model:
-    """Start values from about ``seeds`` texts, drawn by their hashes, of 20,000 words at most each; then ``rounds`` rounds over all."""
-    share = seeds / max(1, encoded.count())
-    drawn = F.pmod("key", F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))
-    few = encoded.where(drawn & (F.length("seq") <= 40_000)).limit(4 * seeds).collect()
-    model = start_model([np.frombuffer(r.seq, np.int16) for r in sorted(few, key=lambda r: (r.key, r.seq))])
+def train(encoded: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """Start values and all rounds from all training texts; ends early once a round gains less than SETTLED of the likelihood."""
+    model, before = start_model(encoded, voc.share), None
     for _ in range(rounds):
-        model = expected(encoded, model)
+        model, log = expected(encoded, model)
+        if before is not None and log - before <= SETTLED * abs(before):
+            break
+        before = log
     return model
 
 
@@ -357,7 +368,7 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
 
 
-def score_texts(docs: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS) -> DataFrame:
+def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``.
 
     Null and empty texts are the end alone and are scored and learned from like others; repeated rows count each.
@@ -368,6 +379,6 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS) -> Da
     training = docs.where(~held_out())
     words, voc = vocabulary(training)
     encoded = encode(training, docs.sparkSession.sparkContext.broadcast(voc))
-    model = train(encoded, rounds, seeds)
+    model = train(encoded, voc, rounds)
     scored = score_documents(docs, words, voc, model)
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(voc.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -60,7 +60,7 @@ def test_forward_and_counts_equal_brute_force():
 
 def test_base_counts_scores_and_held_out_gain(spark):
     rows = [(i, prose(i % 40, 80 + i)) for i in range(90)] + [(200, None), (201, ""), (None, "one two"), (202, "unseenword é")]
-    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1, seeds=16).collect()}
+    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()}
     n, want = brute_base(rows)
     for (d, _), (tokens, known, base) in zip(rows, want, strict=True):
         r = got[d]
@@ -111,6 +111,41 @@ def test_model_is_a_distribution_over_the_next_word(spark):
 
 
 def test_awkward_rows(awkward, empty):
-    got = lm.score_texts(awkward, rounds=1, seeds=8).collect()
+    got = lm.score_texts(awkward, rounds=1).collect()
     assert len(got) == awkward.count() and all(math.isfinite(r.score) for r in got)
     assert lm.score_texts(empty).collect() == []
+
+
+def test_training_reads_all_texts_and_gains(spark):
+    rows = [(i, prose(i % 7, 40 + i)) for i in range(40)] + [(50, "word " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words_, voc = lm.vocabulary(docs)
+    encoded = lm.encode(docs, spark.sparkContext.broadcast(voc))
+    seqs = lm.sequences([t.encode() for _, t in rows], voc)[0]
+    assert math.isclose(voc.share.sum(), 1)
+    lines = np.random.default_rng(11).normal(size=(lm.N_CLASSES, lm.STATES))
+    emit = np.zeros((lm.N_CLASSES, lm.STATES))
+    for s in seqs:  # the longest text too
+        state = int(np.argmax(sum(lines[c] for c in s) - len(s) * (voc.share @ lines)))
+        n = np.bincount(s, minlength=lm.N_CLASSES)
+        emit += (1 - lm.LEAN) / lm.STATES * n[:, None]
+        emit[:, state] += lm.LEAN * n
+    model = lm.start_model(encoded, voc.share)
+    want = lm.Model.of_counts(np.ones(lm.STATES), 1000 * (1 + 100 * np.eye(lm.STATES)), emit)
+    assert np.allclose(model.emit, want.emit)
+    logs = []
+    for _ in range(4):
+        counts = lm.empty_counts()
+        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
+        log = lm.forward(model, [seqs[i] for i in order], counts).sum()
+        own = lm.Model.of_counts(counts["start"], counts["move"], counts["emit"])
+        model, got = lm.expected(encoded, model)
+        assert math.isclose(got, log, rel_tol=1e-9) and np.allclose(model.move, own.move)
+        logs.append(got)
+    assert logs == sorted(logs)
+
+
+def test_long_text_is_scored_whole(spark, longest):
+    rows = [(1, longest), (2, prose(3, 40))]
+    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()}
+    assert got[1].n_tokens == len(words(longest)) + 1 and math.isfinite(got[1].score)
