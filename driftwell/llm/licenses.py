@@ -41,6 +41,39 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("MIT", "Distributed under the MIT License."),
+    ("MIT", "This software is released under the MIT License."),
+    ("Apache-2.0", "Licensed under Apache License 2.0."),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Distributed under the Apache 2.0 license."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("CC0-1.0", "This work is licensed under CC0 1.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
@@ -53,59 +86,82 @@ def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return w.doc[1:][same], h[same]
 
 
-def best_windows(h: np.ndarray, templates: list[tuple[str, Counter, np.ndarray]], hits: np.ndarray, least: float) -> dict[str, tuple[float, int, int]]:
-    """For each licence found: (dice, first bigram, bigrams) of its best window, the first of equals; where windows of two overlap, the more alike or longer stands. hits: places of template bigrams."""
-    found: dict[str, tuple[float, int, int]] = {}
-    for name, template, keys in templates:
-        size = template.total()
+class Templates:
+    """Templates as bags of bigrams; ``holds[i, t]`` says whether template t has the bigram ``keys[i]``."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...]):
+        bags = [(name, bigrams([text.encode()])[1]) for name, text in templates]
+        self.bags = [(name, Counter(h.tolist())) for name, h in bags if len(h)]
+        self.keys = np.unique(np.concatenate([h for _, h in bags])) if self.bags else np.zeros(0, np.uint64)
+        self.holds = np.array([np.isin(self.keys, np.array(list(bag), np.uint64)) for _, bag in self.bags]).T if self.bags else np.zeros((0, 0), bool)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``h`` of bigrams of any template, and their rows in ``holds``."""
+        if not len(h) or not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[row] == h)
+        return at, row[at]
+
+
+def alike(h: np.ndarray, templates: Templates, at: np.ndarray, row: np.ndarray, least: float) -> list[tuple[float, int, int, str]]:
+    """(dice, first bigram, bigrams, licence) of all windows of ``least`` or more. at, row: what ``find`` gives of ``h``."""
+    found = []
+    shares = templates.holds[row].sum(axis=0)
+    for t in np.flatnonzero(shares):
+        name, bag = templates.bags[t]
+        size = bag.total()
         bound = int(np.ceil(least * size / (2 - least) - 1e-9))
-        if len(h) < bound:
+        if len(h) < bound or shares[t] < bound:
             continue
-        at = hits[np.isin(h[hits], keys)]
+        own = at[templates.holds[row, t]]
         width = min(size, len(h))
-        if len(at) < bound:
-            continue
-        starts = np.minimum(at, len(h) - width)
-        shared = np.searchsorted(at, starts + width) - np.searchsorted(at, starts)
-        for start in np.unique(starts[shared >= bound]).tolist():
-            common = (Counter(h[start : start + width].tolist()) & template).total()
-            dice = 2 * common / (size + width)
-            if dice >= least and (name not in found or dice > found[name][0]):
-                found[name] = (dice, start, width)
+        starts = np.unique(np.minimum(own, len(h) - width))
+        shared = np.searchsorted(own, starts + width) - np.searchsorted(own, starts)
+        for start in starts[shared >= bound].tolist():
+            dice = 2 * (Counter(h[start : start + width].tolist()) & bag).total() / (size + width)
+            if dice >= least:
+                found.append((dice, start, width, name))
+    return found
+
+
+def best_windows(windows: list[tuple[float, int, int, str]], n: int) -> dict[str, tuple[float, int, int]]:
+    """For each licence (dice, first bigram, bigrams) of its best window that stands, the first of equals.
+
+    Windows stand by falling likeness, then length, each where none that stands covers a part of it; so a licence
+    that loses one place to a closer one keeps its others. ``n`` bigrams are in the text.
+    """
+    taken = np.zeros(n, bool)
     kept: dict[str, tuple[float, int, int]] = {}
-    for name, (dice, start, width) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][2], x[0])):
-        if all(start >= s + w or s >= start + width for _, s, w in kept.values()):
-            kept[name] = (dice, start, width)
+    for dice, start, width, name in sorted(windows, key=lambda w: (-w[0], -w[2], w[1], w[3])):
+        if not taken[start : start + width].any():
+            taken[start : start + width] = True
+            kept.setdefault(name, (dice, start, width))
     return kept
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """Rows (doc_id, licence, dice, first_word, n_words): for each document and licence found the best window.
+    """Rows (doc_id, licence, dice, first_word, n_words): for each document and licence found the best window that no closer licence's overlaps.
 
     Words count from 0. Null and empty texts, and templates of one word, match nothing. Repeated rows are reported
     each, null ids included. Columns other than doc_id and text are not read; an empty table gives no rows.
     """
-    prepared = []
-    for name, text in templates:
-        _, h = bigrams([text.encode()])
-        if len(h):
-            prepared.append((name, Counter(h.tolist()), np.unique(h)))
-    every = np.unique(np.concatenate([k for _, _, k in prepared])) if prepared else np.zeros(0, np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(Templates(templates))  # as large as the templates
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = sent.value
         for b in batches:
             texts = texts_of(b.column(1))
             out = []
             for i, j in groups(texts):
                 d, h = bigrams(texts[i:j])
-                if not len(h) or not len(every):
-                    continue
-                hit = np.flatnonzero(every[np.minimum(np.searchsorted(every, h), len(every) - 1)] == h)
+                at, row = bags.find(h)
                 bounds = np.searchsorted(d, np.arange(j - i + 1))
-                for k in np.unique(d[hit]):
+                for k in np.unique(d[at]):
                     lo, hi = bounds[k], bounds[k + 1]
-                    own = hit[np.searchsorted(hit, lo) : np.searchsorted(hit, hi)] - lo
-                    for name, (dice, start, width) in best_windows(h[lo:hi], prepared, own, least).items():
+                    one = slice(*np.searchsorted(at, (lo, hi)))
+                    found = best_windows(alike(h[lo:hi], bags, at[one] - lo, row[one], least), hi - lo)
+                    for name, (dice, start, width) in found.items():
                         out.append((i + int(k), name, dice, start, width + 1))
             if out:
                 at, *columns = zip(*out, strict=True)

@@ -41,3 +41,50 @@ def test_scan_equals_brute_force(spark, awkward, empty):
             assert max(want.values()) == max(got[d].values()) and all(want[k] == v for k, v in got[d].items())
     assert set(got[len(texts) - 1]) == {"MIT", "CC-BY-NC-4.0"} and set(got[11]) == {"GPL-2.0"}
     assert licenses.scan(awkward).collect() == [] and licenses.scan(empty).collect() == []
+
+
+def test_nothing_is_missing_beside_closer_licences(spark):
+    gpl2, gpl3 = licenses.TEMPLATES[8][1], licenses.TEMPLATES[7][1].split()
+    altered = [w if k % 9 else f"changed{k}" for k, w in enumerate(gpl3)]
+    while brute(" ".join(altered)).get("GPL-3.0", 0) < licenses.LEAST:
+        altered[next(k for k, w in enumerate(altered) if w.startswith("changed"))] = "is"
+        altered = [gpl3[k] if w == "is" else w for k, w in enumerate(altered)]
+    lesser = dict(reversed(licenses.TEMPLATES))["LGPL-2.1"]
+    bsd2 = dict(reversed(licenses.TEMPLATES))["BSD-2-Clause"]
+    texts = [
+        f"{gpl2} {prose(30, 20)} {' '.join(altered)}", f"{' '.join(altered)} {gpl2}", lesser, bsd2, "Distributed under the MIT License", "Licensed under Apache License 2.0", "Licensed under CC BY-NC-SA 4.0.",
+        f"{prose(31, 30)} {lesser.replace('library', 'toolkit')} {prose(32, 30)} {dict(licenses.TEMPLATES)['AGPL-3.0']}", (dict(licenses.TEMPLATES)["Zlib"] + "\n") * 300,
+    ]
+    want = [{"GPL-2.0", "GPL-3.0"}, {"GPL-2.0", "GPL-3.0"}, {"LGPL-2.1"}, {"BSD-2-Clause"}, {"MIT"}, {"Apache-2.0"}, {"CC-BY-NC-SA-4.0"}, {"LGPL-2.1", "AGPL-3.0"}, {"Zlib"}]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.licence)
+    assert [got.get(k, set()) for k in range(len(texts))] == want
+
+
+def test_every_licence_with_a_free_window_is_found():
+    """Against plain windows: a licence is missing only if each of its windows meets one of a closer licence."""
+    templates = licenses.Templates(licenses.TEMPLATES)
+    text = " ".join(t for _, t in licenses.TEMPLATES[::3]) + " " + prose(33, 50) + " " + licenses.TEMPLATES[7][1]
+    h = licenses.bigrams([text.encode()])[1]
+    windows = licenses.alike(h, templates, *templates.find(h), licenses.LEAST)
+    plain = {}
+    for name, t in licenses.TEMPLATES:
+        bag = Counter(licenses.bigrams([t.encode()])[1].tolist())
+        for s in range(len(h) - bag.total() + 1):
+            dice = 2 * (Counter(h[s : s + bag.total()].tolist()) & bag).total() / (2 * bag.total())
+            if dice >= licenses.LEAST:
+                plain[name, s, bag.total()] = dice
+    starts = {(name, s, w): d for d, s, w, name in windows}
+    assert starts.items() <= plain.items() and {k[0] for k in plain} == {k[0] for k in starts}
+    assert all(max(d for (n, _, _), d in starts.items() if n == name) == max(d for (n, _, _), d in plain.items() if n == name) for name in {k[0] for k in plain})
+    kept = licenses.best_windows(windows, len(h))
+    for name in {w[3] for w in windows} - set(kept):
+        for d, s, w, _ in (x for x in windows if x[3] == name):
+            assert any(o[3] != name and o[0] >= d and s < o[1] + o[2] and o[1] < s + w for o in windows)
+
+
+def test_long_text_is_scanned_whole(spark, longest):
+    rows = [(1, longest + " " + licenses.TEMPLATES[3][1])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.licence) for r in got] == [(1, "MIT")] and got[0].first_word == len(re.findall(r"[^\W_]+", longest))
