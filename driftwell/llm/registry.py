@@ -28,8 +28,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # unless spark.driftwell.pieces names another file
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.read_pieces())
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.read_pieces(spark.conf.get("spark.driftwell.pieces", PIECES)))
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame
 
 from ._words import groups, texts_of
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A word with the one space before it; white space, but for that space, by itself.
 PRE_TOKEN = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+LONG = 256  # bytes from which a pre-token's scores roll along it instead of staying in the trie
+AT_ONCE = 500_000  # pre-tokens of a text held at a time
 REMEMBERED = 300_000  # pre-tokens whose counts a task keeps
 NODES = 1_000_000  # nodes from which a task starts a new trie
 
 
-def read_pieces(path: str = VOCABULARY) -> dict[bytes, float]:
+def read_pieces(path: str) -> dict[bytes, float]:
     """Pieces and scores of a vocabulary file of lines "base64 rank": the log of Zipf's share of each rank."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -41,6 +43,7 @@ class Pieces:
         ends: dict[bytes, set[int]] = {}
         for p in scores:
             ends.setdefault(p[-3:], set()).add(len(p))
+        self.longest = max(map(len, scores), default=0)
         shorter = lambda e: {n for n in (1, 2) if n < len(e) and e[-n:] in scores}
         self.lengths = {e: tuple(sorted(n | shorter(e))) for e, n in ends.items()}
 
@@ -87,31 +90,69 @@ class Trie:
         return tokens[node]
 
 
+def rolled(word: bytes, pieces: Pieces) -> int:
+    """What ``Trie.insert`` gives, from the scores of the last ``pieces.longest`` prefixes alone."""
+    piece, lengths = pieces.scores.get, pieces.lengths.get
+    size = pieces.longest + 1
+    score, tokens = [-np.inf] * size, [-1] * size
+    score[0], tokens[0] = 0.0, 0
+    at = 0
+    for d in range(1, len(word) + 1):
+        best, count = -np.inf, -1
+        end = word[d - 3 if d > 3 else 0 : d]
+        for n in lengths(end) or lengths(end[-2:]) or lengths(end[-1:], ()):
+            if n > d:
+                break
+            above = (d - n) % size
+            if tokens[above] >= 0 and (p := piece(word[d - n : d])) is not None:
+                s = score[above] + p
+                if s > best or (s == best and tokens[above] + 1 < count):
+                    best, count = s, tokens[above] + 1
+        at = d % size
+        score[at], tokens[at] = best, count
+    return tokens[at]
+
+
 def count_tokens(docs: DataFrame, pieces: dict[bytes, float]) -> DataFrame:
     """Rows (doc_id, n_pre_tokens, n_tokens), one for each row of ``docs``, over the UTF-8 bytes of whole texts.
 
     Null and empty texts have none of either. A pre-token that the pieces can't make counts a token for each byte.
-    Repeated rows are counted each; columns other than doc_id and text are not read; an empty table gives none.
+    Pre-tokens of LONG bytes or more aren't kept: their scores roll along them, so a run of any length takes no more
+    memory. Repeated rows are counted each; columns other than doc_id and text are not read; an empty table gives none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Pieces(pieces))  # as large as the vocabulary file
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         trie = Trie(sent.value)
+
+        def tokens(words: list[list[bytes]]) -> list[int]:
+            nonlocal trie
+            new = set().union(*words).difference(known)
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = set().union(*words)
+            if len(trie.score) > NODES:
+                trie = Trie(sent.value)
+            long = {}
+            for w in new:
+                n = trie.insert(w) if len(w) < LONG else rolled(w, sent.value)
+                (known if len(w) < LONG else long)[w] = n if n >= 0 else len(w)
+            if long:
+                return [sum(known[x] if x in known else long[x] for x in w) for w in words]
+            return [sum(map(known.__getitem__, w)) for w in words]
+
         for b in batches:
             texts = texts_of(b.column(1))
             for i, j in groups(texts):
-                words = [PRE_TOKEN.findall(t) for t in texts[i:j]]
-                new = set().union(*words).difference(known)
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = set().union(*words)
-                if len(trie.score) > NODES:
-                    trie = Trie(sent.value)
-                for w in new:
-                    n = trie.insert(w)
-                    known[w] = n if n >= 0 else len(w)
-                counts = [sum(map(known.__getitem__, w)) for w in words]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(w) for w in words], pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_pre_tokens", "n_tokens"])
+                if j - i == 1:  # perhaps a long text
+                    found, n, total = PRE_TOKEN.finditer(texts[i]), 0, 0
+                    while part := [m[0] for m in islice(found, AT_ONCE)]:
+                        n, total = n + len(part), total + tokens([part])[0]
+                    sizes, counts = [n], [total]
+                else:
+                    words = [PRE_TOKEN.findall(t) for t in texts[i:j]]
+                    sizes, counts = [len(w) for w in words], tokens(words)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_pre_tokens", "n_tokens"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_pre_tokens long, n_tokens long")

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from driftwell.llm import registry
 from driftwell.llm import token_counts as tc
 
 from .conftest import prose
@@ -39,7 +40,7 @@ def test_pre_tokens_hold_every_byte():
 
 def test_counts(spark, awkward, empty, monkeypatch):
     try:
-        scores = tc.read_pieces()
+        scores = tc.read_pieces(registry.PIECES)
     except FileNotFoundError:
         pytest.skip("no vocabulary file")
     monkeypatch.setattr(tc, "REMEMBERED", 50)
@@ -56,3 +57,19 @@ def test_counts(spark, awkward, empty, monkeypatch):
     one = tc.count_tokens(spark.createDataFrame([(1, "zz zz")], "doc_id long, text string"), SCORES).collect()[0]
     assert one.n_tokens == 5  # no pieces: a token for each byte
     assert prose(1, 3)
+
+
+def test_long_pre_tokens_and_texts(spark, monkeypatch):
+    r = random.Random(9)
+    pieces = tc.Pieces(SCORES)
+    for _ in range(500):
+        w = bytes(r.choice(b"abch x") for _ in range(r.randint(1, 60)))
+        assert tc.rolled(w, pieces) == tc.Trie(pieces).insert(w)
+    monkeypatch.setattr(tc, "AT_ONCE", 1000)
+    text = "abc cab " * 300_000 + "abcabcab" * 100_000
+    one = tc.count_tokens(spark.createDataFrame([(1, text), (2, "ab" * 200 + " a")], "doc_id long, text string"), SCORES).collect()
+    got = {x.doc_id: (x.n_pre_tokens, x.n_tokens) for x in one}
+    pre = tc.PRE_TOKEN.findall(text.encode())
+    counts = {w: tc.rolled(w, pieces) for w in set(pre)}
+    assert got[1] == (len(pre), sum(n if (n := counts[w]) >= 0 else len(w) for w in pre))
+    assert got[2] == (2, tc.rolled(b"ab" * 200, pieces) + 1)
