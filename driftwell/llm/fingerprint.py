@@ -25,6 +25,8 @@ LENGTH_STEP = np.log(1.2)
 LENGTH_MOST = 24
 FAR = 6  # difference of a bucket in the lowest quartile and one in the highest
 MOST = BUCKETS * FAR + LENGTH_MOST + 1
+PART_BYTES = 64 << 20  # text of a bucket of neighbouring ids
+MOST_PARTS = 10_000  # buckets; beyond 640 GB of text they grow
 
 
 def bucket_counts(text: bytes) -> np.ndarray:
@@ -112,12 +114,15 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The next document is the one with the next doc_id, after the last the first; rows of one id follow by their
     texts, null ids come first, and a lone row is its own next. Null text is empty. Ids are dealt in ranges to
-    ``parts`` buckets whose bounds are quantiles of the ids; the first row of each bucket also goes to the one
-    before, so texts move once and no row needs a global order. An empty table gives none; columns other than
+    ``parts`` buckets (one for each PART_BYTES of text, at least the shuffle partitions) whose bounds are quantiles of
+    the ids; the first row of each bucket also goes to the one before, so texts move once and no row needs a global
+    order. Rows that share one id are in one bucket, read as a stream. An empty table gives none; columns other than
     doc_id and text are not read.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, size // PART_BYTES))
     low = -(1 << 63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("o"))
     quantiles = ids.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []  # parts numbers
@@ -140,5 +145,5 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("o"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.select(F.posexplode(places("o")).alias("ahead", "b"), "o", "doc_id", "text")
-    dealt = dealt.repartition(parts, "b").sortWithinPartitions("b", "ahead", "o", "text").select("b", "ahead", "doc_id", "text")
+    dealt = dealt.repartitionByRange(parts, "b").sortWithinPartitions("b", "ahead", "o", "text").select("b", "ahead", "doc_id", "text")
     return dealt.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
