@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,31 +25,49 @@ def fold(df: DataFrame, ident: str, key: Column, order: list[Column]) -> DataFra
 def leaders(df: DataFrame, bucket: list[str], ident: str, grams: str, least: float) -> DataFrame:
     """(bucket.., ident, leader): in id order a row joins the first leader of its bucket with a Jaccard of ``least`` or more.
 
-    Sequential within a bucket by definition; buckets are the unit of parallel work, and only leaders are kept.
+    Sequential within a bucket by definition; a bucket is read in order as a stream of batches and only its leaders
+    are held. Buckets are the unit of parallel work.
     """
+    types = dict(df.dtypes)
 
-    def assign(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        firsts: list[tuple[object, set]] = []
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, firsts = object(), []
         for b in batches:
             out = []
-            for i, g in zip(b[ident], b[grams], strict=True):
+            for key, i, g in zip(zip(*(b[c] for c in bucket), strict=True), b[ident], b[grams], strict=True):
+                if key != at:
+                    at, firsts = key, []
                 s = set(g)
                 found = next((lead for lead, t in firsts if s and t and len(s & t) >= least * len(s | t)), None)
                 if found is None:
                     firsts.append((i, s))
                     found = i
                 out.append(found)
-            yield pd.DataFrame({**{c: [k] * len(b) for c, k in zip(bucket, key, strict=True)}, ident: b[ident], "leader": out})
+            yield pd.DataFrame({**{c: b[c] for c in bucket}, ident: b[ident], "leader": out})
 
-    types = dict(df.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in bucket), f"{ident} {types[ident]}", f"leader {types[ident]}"])
+    return df.select(*bucket, ident, grams).repartition(*bucket).sortWithinPartitions(*bucket, ident).mapInPandas(assign, schema)
 
-    def whole(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(assign(key, iter([b.sort_values(ident)]))))
 
-    return df.groupBy(*bucket).applyInPandas(whole, schema)
+def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The one row of each key with the least values of ``order``: a minimum that partitions take first."""
+    best = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).alias("_best"))
+    return best.select("_best.*")
 
 
-def weakest_twin(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The one row of each key that comes first."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+def similar_sets(df: DataFrame, ident: str, items: str, least: float) -> DataFrame:
+    """(a, b, common, m, n): pairs a < b of sets whose Jaccard similarity may be ``least`` or more, with what they share.
+
+    Each set is ordered by how many sets hold an element, rare ones first; sets that are similar share one of their
+    first n - ceil(least * n) + 1 elements, so the most frequent ones, which would pair everything, are never joined.
+    """
+    sets = df.select(F.col(ident).alias("id"), F.array_distinct(items).alias("s")).where(F.size("s") > 0)
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("k"))
+    ranked = each.join(each.groupBy("k").agg(F.count("*").alias("c")), "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "k"))).alias("s"), F.first("n").alias("n"))
+    prefix = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("x")).select("id", "n", F.xxhash64("x.k").alias("k"))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    size = (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
+    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & size).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size("sa").alias("m"), F.size("sb").alias("n"))

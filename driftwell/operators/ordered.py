@@ -8,16 +8,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
+
+def numbered(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place in its group, from 1, by a total ``order``.
+
+    Rows are sorted by ranges of (by, order) and counts of the ranges before are added, so a group that holds a third
+    of all rows is spread over as many tasks. What is joined back has a row for each group and range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(by).asc_nulls_first(), *order]
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged)
+    parts = ranged.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    joined = ranged.join(parts, (F.col("_part") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_by")))
+    return joined.select(*df.columns, (F.col("_at") - F.col("_low") + F.col("_before") + 1).alias(name))
+
 
 def round_robin(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
     """Rows with their turn: the first of every group, then the second of every group, and so on."""
-    return df.withColumn("turn_no", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return numbered(df, by, order, "turn_no")
 
 
 def every_kth(df: DataFrame, by: str, order: list[Column], step: int) -> DataFrame:
     """Of each stratum the rows at places 0, step, 2 * step, ..."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return df.withColumn("_at", at).where(F.col("_at") % step == 0).drop("_at")
+    return numbered(df, by, order, "_place").where((F.col("_place") - 1) % step == 0).drop("_place")
 
 
 def chunks(df: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_QUERIES = 10_000
+QUERY_BLOCK, ROW_BLOCK = 1000, 20_000  # vectors of a task's two sides
+PAIR_BLOCK = 2048  # vectors of a block of similar pairs
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -20,35 +21,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def nearest(df: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, ident, score, rank): the k most similar rows of ``df`` to each query by cosine, ties by id.
 
-    The queries, MOST_QUERIES at most, go to every task as one matrix; each batch keeps its k best for each query, so
-    what is shuffled is k rows for each query and batch.
+    Queries and rows are dealt to blocks by hash and each pair of blocks is one task's matrix product, which hands on
+    k rows for each query; the best of these are the result. Block counts follow the tables, so a task holds at most
+    some QUERY_BLOCK queries and ROW_BLOCK rows and nothing passes through the driver.
     """
-    rows = queries.select("query_id", vector).limit(MOST_QUERIES + 1).toPandas().sort_values("query_id")
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    q = _unit(np.stack(rows[vector].to_numpy()).astype(float)) if len(rows) else np.zeros((0, 1))
-    ids = rows["query_id"].to_numpy()
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not len(q):
-                continue
-            s = q @ _unit(np.stack(b[vector].to_numpy()).astype(float)).T
-            own = b[ident].to_numpy()
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s.round(12)), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), ident: own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    found = df.select(ident, vector).mapInPandas(best, f"query_id long, {ident} long, score double")
+    n_rows, n_queries = df.count(), queries.count()
+    r, q = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = df.select(every(q).alias("qb"), of(ident, r).alias("rb"), F.lit(False).alias("asks"), F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"))
+    asks = queries.select(of("query_id", q).alias("qb"), every(r).alias("rb"), F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), F.col(vector).alias("v"))
+
+    def best(b: pd.DataFrame) -> pd.DataFrame:
+        left, right = b[b["asks"]], b[~b["asks"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], ident: [], "score": []}).astype({"query_id": "int64", ident: "int64", "score": "float64"})
+        s = _unit(np.stack(left["v"].to_numpy()).astype(float)) @ _unit(np.stack(right["v"].to_numpy()).astype(float)).T
+        own = right["id"].to_numpy()
+        order = np.lexsort((np.broadcast_to(own, s.shape), -s.round(12)), axis=1)[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), order.shape[1]), ident: own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+    found = rows.union(asks).groupBy("qb", "rb").applyInPandas(best, f"query_id long, {ident} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), ident))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar(df: DataFrame, least: float, ident: str = "vec_id", vector: str = "embedding", blocks: int = 4) -> DataFrame:
+def similar(df: DataFrame, least: float, ident: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(a, b, score) of all pairs a < b with a cosine of ``least`` or more.
 
     Rows are dealt to blocks by hash and each pair of blocks is one task's matrix product, which hands on the similar
-    pairs alone. Every row goes to ``blocks`` tasks; with n rows a task holds 2 n / blocks of them.
+    pairs alone. ``blocks`` follows the row count, so a task holds two blocks of some PAIR_BLOCK rows; every row goes
+    to ``blocks`` tasks.
     """
+    blocks = blocks or max(1, -(-df.count() // PAIR_BLOCK))
     low = F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(low, o).alias("x"), F.greatest(low, o).alias("y")))
     rows = df.select(ident, vector, low.alias("own"), F.explode(pairs).alias("p")).select(ident, vector, "own", "p.x", "p.y")

@@ -1,8 +1,8 @@
 """The query catalogue: operators applied to the tables, with DuckDB SQL for each that SQL can express."""
 
-from . import lifecycle, profiles, relational, similarity
+from . import governance, knowledge, lifecycle, profiles, relational, scalars, similarity, views
 
-PARTS = (relational.CATALOGUE, similarity.CATALOGUE, lifecycle.CATALOGUE, profiles.CATALOGUE)
+PARTS = (relational.CATALOGUE, similarity.CATALOGUE, lifecycle.CATALOGUE, profiles.CATALOGUE, scalars.CATALOGUE, knowledge.CATALOGUE, views.CATALOGUE, governance.CATALOGUE)
 
 
 def all_queries() -> dict:

@@ -113,7 +113,7 @@ def contamination(spark, d):
         w = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]{2,})"), F.lit(1))
         rows = df.select(ident, w.alias("w")).where(F.size("w") >= 8)
         grams = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
-        return rows.select(ident, F.explode(F.array_distinct(grams)).alias("k"))
+        return rows.select(ident, F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("k"))  # 64-bit hashes move, not words
 
     items = runs(table(spark, d, "benchmark"), "item_id")
     n = items.groupBy("item_id").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp01, wilson
-from ..operators import rules
+from ..operators import ordered, rules
 from ..sources.tables import table
 from .catalogue import Catalogue
 
@@ -39,7 +39,7 @@ def upper_median(spark, d):
     return upto.groupBy("source").agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).cast("long").alias("upper_median"), F.max("n").alias("n"))
 
 
-@query("SELECT doc_id, round(greatest(0.0, least(1.0, 0.3 * (length(text) >= 200)::INT + 0.3 * (text LIKE '%.%')::INT + 0.2 * (length(text) < 10000)::INT - 0.4 * (text LIKE '%###%')::INT - 0.4 * (text LIKE '%!!%')::INT + 0.2)), 4) AS score FROM documents")
+@query("SELECT doc_id, round(greatest(0.0, least(1.0, 0.3 * (length(text) >= 200)::INT + 0.3 * (text LIKE '%.%')::INT + 0.2 * (length(text) < 10000)::INT - 0.4 * (text LIKE '%###%')::INT - 0.4 * (text LIKE '%!!%')::INT + 0.2)), 4)::DOUBLE AS score FROM documents")
 def structure_score(spark, d):
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
     t = F.col("text")
@@ -113,7 +113,9 @@ def paired_verdict(spark, d):
 SELECT DISTINCT x.source, x.doc_id FROM x JOIN k ON x.source = k.source AND x.i = k.i""")
 def uniform_sample(spark, d):
     """Five evenly spaced rows of each source, places rounded half to even."""
-    x = table(spark, d, "documents").select("source", "doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("i"), F.count("*").over(Window.partitionBy("source")).alias("n"))
+    docs = table(spark, d, "documents").select("source", "doc_id")
+    sizes = docs.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
+    x = ordered.numbered(docs, "source", [F.asc("doc_id")], "i").withColumn("i", F.col("i") - 1).join(sizes, F.col("source").eqNullSafe(F.col("s")))
     places = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.bround(j * (F.col("n") - 1) / 4.0, 0).cast("long"))
     return x.where(F.array_contains(places, F.col("i").cast("long"))).select("source", "doc_id")
 

@@ -9,16 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What the cluster names in ``spark.checkpoint.dir``; our own folder only where that is unset."""
+    """What the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own in local mode alone, as in tests: driver and executors are one process
+    there. On a cluster it is an error, since each machine would write to a folder that the others can't read.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftwell-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet and read back: cuts the lineage of loops and survives lost executors."""
+    """``df`` written once as Parquet and read back: cuts the lineage of loops and survives lost executors; columns stay prunable."""
     path = f"{shared_folder(df.sparkSession)}/driftwell/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,12 @@
 """Readers and writers.
 
 Readers take explicit schemas where the format carries none. Writers partition by what readers filter on, and a
-published store is a new folder plus one pointer row, so readers never see half a write.
+published store is a new folder and then one new pointer file, so readers see a whole generation or the one before.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,14 +67,35 @@ def publish(df: DataFrame, store: str, generation: str, keys: list[str]) -> None
     if not twice.isEmpty() or not null.isEmpty():
         raise ValueError("keys are null or not unique")
     df.write.mode("error").parquet(f"{store}/generation={generation}")
-    df.sparkSession.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").json(f"{store}/_current")
+    spark = df.sparkSession
+    n = (_pointers(spark, store).agg(F.max("n")).first()[0] or 0) + 1
+    spark.createDataFrame([(n, generation)], "n long, generation string").coalesce(1).write.mode("append").json(f"{store}/_pointers")
+
+
+def _pointers(spark: SparkSession, store: str) -> DataFrame:
+    """(n, generation): one row for each publication; a pointer is a file of its own, there or not there."""
+    schema = "n long, generation string"
+    try:
+        return spark.read.schema(schema).json(f"{store}/_pointers")
+    except AnalysisException:  # nothing published yet
+        return spark.createDataFrame([], schema)
 
 
 def current(spark: SparkSession, store: str) -> DataFrame:
-    generation = spark.read.schema("generation string").json(f"{store}/_current").first()[0]
+    """The generation of the newest pointer; a publication that failed before its pointer never shows."""
+    generation = _pointers(spark, store).agg(F.max_by("generation", "n")).first()[0]
     return spark.read.parquet(f"{store}/generation={generation}")
 
 
+def rollback(spark: SparkSession, store: str, generation: str) -> None:
+    """Point to a generation that was published before; the pointers stay as the store's history."""
+    old = _pointers(spark, store)
+    if old.where(F.col("generation") == F.lit(generation)).isEmpty():
+        raise ValueError(f"generation {generation!r} was never published")
+    n = old.agg(F.max("n")).first()[0] + 1
+    spark.createDataFrame([(n, generation)], "n long, generation string").coalesce(1).write.mode("append").json(f"{store}/_pointers")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with equal keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
