@@ -33,8 +33,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every document: the words that the mix takes of it, 0 for none."""
-    return mixing.mix_sources(docs)
+    """The mix: documents of which words are taken, with size, source_size, target and taken; a text stays whole, taken says how much of it counts."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
