@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize
+from ._shared import materialize, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-SMALL = 10_000  # sources that one window ranks; more are ranked by range partitions and their counts
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -60,41 +59,37 @@ def _rank(by: DataFrame) -> DataFrame:
     """Place of each source (0 first) in code-point order, null last, by range partitions and their counts."""
     spark = by.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = materialize(by)
-    if by.count() <= SMALL:
-        from pyspark.sql import Window
-
-        return by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     ranged = materialize(
         by.repartitionByRange(n, F.col("source").asc_nulls_last())
         .sortWithinPartitions(F.col("source").asc_nulls_last())
         .select("*", (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("at"), F.spark_partition_id().alias("pid"))
     )
     counts = {r.pid: r.n for r in ranged.groupBy("pid").agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    before, at = [], 0
+    before, at = [F.lit(-1), F.lit(0)], 0
     for pid in sorted(counts):
         before += [F.lit(pid), F.lit(at)]
         at += counts[pid]
     return ranged.withColumn("rank", F.col("at") + F.create_map(*before)[F.col("pid")]).drop("at", "pid")
 
 
-def _local_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, total = object(), 0
     for b in batches:
-        if not len(b):
+        if not b.num_rows:
             continue
-        new = b["source"].ne(b["source"].shift())
-        new &= ~(b["source"].isna() & b["source"].shift().isna())
-        first = b["source"].iloc[0]
+        source, size = b.column("source").to_pandas(), b.column("size").to_pandas()
+        new = source.ne(source.shift())
+        new &= ~(source.isna() & source.shift().isna())
+        first = source.iloc[0]
         same = first == last or (first is None and last is None)
         new.iloc[0] = not same
         run = new.cumsum()
-        before = b["size"].groupby(run).cumsum() - b["size"]
+        before = size.groupby(run).cumsum() - size
         if same:
             before = before + total * (run == 0)
-        b["before"] = before.astype("int64")
-        last, total = b["source"].iloc[-1], int(before.iloc[-1] + b["size"].iloc[-1])
-        yield b
+        before = before.astype("int64")
+        last, total = source.iloc[-1], int(before.iloc[-1] + size.iloc[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before)], [*b.schema.names, "before"])
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: int = 17) -> DataFrame:
@@ -106,18 +101,37 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     rows equal in all of these are interchangeable. Null text is empty, null source a source of its own, null
     doc_id an id like any other. Other columns of ``docs`` are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    sized = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("key", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16))
-    )
+    sized = materialize(_sized(docs, seed))
+    return _placed(sized, weights, max_epochs, share).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: int = 17) -> DataFrame:
+    """The mix itself: the rows of ``docs`` of which ``mix_sources`` takes words, all their columns, and size, source_size, target and taken.
+
+    taken // size is how often the text comes whole, taken % size how many of its first words come once more. A
+    document of which the mix takes nothing isn't in it. Columns of ``docs`` named like the four new ones give way
+    to them.
+    """
+    (row,) = unused(docs, "_row")
+    docs = materialize(docs.drop("size", "source_size", "target", "taken").withColumn(row, F.monotonically_increasing_id()))  # stored, so a row keeps its number
+    placed = _placed(materialize(_sized(docs, seed, F.col(row).alias("row"))), weights, max_epochs, share)
+    taken = placed.where("taken > 0").select(F.col("row").alias(row), "size", "source_size", "target", "taken")
+    return docs.join(taken, row).drop(row)
+
+
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    key = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *more)
+
+
+def _placed(sized: DataFrame, weights: tuple[float, ...], max_epochs: int, share: float) -> DataFrame:
+    """``sized`` with source_size, target and taken."""
     goal = targets(sized, weights, max_epochs, share)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("source").asc_nulls_last(), "key", F.col("doc_id").asc_nulls_last(), "size"]
-    ranged = sized.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "source", "size", F.spark_partition_id().alias("pid"))
+    ranged = sized.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("key").withColumn("pid", F.spark_partition_id())
     schema = T.StructType([*ranged.schema.fields, T.StructField("before", T.LongType())])
-    ranged = materialize(ranged.mapInPandas(_local_sums, schema))
-    from pyspark.sql import Window
-
+    ranged = materialize(ranged.mapInArrow(_local_sums, schema))
     earlier = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy("source", "pid").agg(F.sum("size").alias("part"))  # a row for each partition a source reaches
     parts = parts.withColumn("earlier", F.coalesce(F.sum("part").over(earlier), F.lit(0)))
@@ -127,4 +141,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("before") + F.col("earlier"))))
-    return out.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return out.withColumn("taken", (epochs * F.col("size") + part).cast("long"))

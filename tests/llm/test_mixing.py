@@ -54,11 +54,24 @@ def test_many_sources_meet_their_budgets(spark):
     assert abs(sum(target.values()) - sum(len(t.split()) for _, t, _ in rows)) < 1e-6
 
 
-def test_ranks_by_ranges_equal_the_window(spark, monkeypatch):
-    by = spark.createDataFrame([(f"s{i * 7 % 50:02}",) for i in range(50)] + [(None,)], "source string")
-    want = {r.source: r["rank"] for r in mixing._rank(by).collect()}
-    monkeypatch.setattr(mixing, "SMALL", 0)
-    assert {r.source: r["rank"] for r in mixing._rank(by).collect()} == want
+def test_ranks_by_ranges(spark):
+    names = [f"s{i * 7 % 50:02}" for i in range(50)]
+    by = spark.createDataFrame([(s,) for s in names] + [(None,)], "source string")
+    assert {r.source: r["rank"] for r in mixing._rank(by).collect()} == {s: i for i, s in enumerate([*sorted(names), None])}
+
+
+def test_mixed_documents_are_those_taken(awkward, empty):
+    got = mixing.mixed_documents(awkward)
+    assert set(got.columns) == {*awkward.columns, "source_size", "target", "taken"}
+    want = sorted(((r.doc_id, r["size"], r.taken) for r in mixing.mix_sources(awkward).where("taken > 0").collect()), key=key)
+    rows = got.collect()
+    assert sorted(((r.doc_id, r["size"], r.taken) for r in rows), key=key) == want and all(len(words(r.text)) == r["size"] for r in rows)
+    assert mixing.mixed_documents(empty).collect() == []
+
+
+def test_long_text_is_counted_whole(spark, longest):
+    docs = spark.createDataFrame([(1, longest, "a"), (2, "w", "a")], "doc_id long, text string, source string")
+    assert {r.doc_id: r["size"] for r in mixing.mix_sources(docs).collect()} == {1: len(words(longest)), 2: 1}
 
 
 def test_empty(empty):

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from driftwell.llm import quality
+from driftwell.llm import mixing, quality
 
 from .conftest import prose
 
@@ -30,7 +30,11 @@ def test_stages(spark, tmp_path):
     assert kept[1] - kept[2] == {201}
     assert kept[2] - kept[3] == {203}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in got} == kept[3]
+    mix = {r.doc_id: r.taken for r in mixing.mix_sources(at).collect()}
+    assert set(mix) == kept[3]
+    assert {r.doc_id: r.taken for r in got} == {d: n for d, n in mix.items() if n}
+    texts = {r.doc_id: r.text for r in at.collect()}
+    assert all(r.text == texts[r.doc_id] for r in got)
     taken = {}
     for r in got:
         taken[r.source] = taken.get(r.source, 0) + r.taken
