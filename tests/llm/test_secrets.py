@@ -93,3 +93,48 @@ def test_upper_case_keys_keys_in_paths_and_copies(spark):
     assert all(got[1000 + i].n_random == 0 for i in range(4000))
     spans = [dict(rows)[200 + i][s.start : s.end] for i in range(20) for s in got[200 + i].spans]
     assert all(len(x) == 40 and "/" not in x for x in spans)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "token=abcdefg " * 400_000 + "x" * 5 + " 0123456789abcdef01234567"
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_assign", "n_hex", "base_spans").first()
+    assert (r.n_assign, r.n_hex) == (400_000, 1) and [(s.start, s.end) for s in r.base_spans] == [(a, b) for a, _, b in base(text)]
+
+
+def test_free_spans_equal_a_plain_loop(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    rows = []
+    for k in range(200):
+        cuts = sorted(r.sample(range(120), 12))
+        base_spans = [(a, a + r.randint(1, 30), None) for a in r.sample(range(120), r.randint(0, 5))]
+        rows.append((k, [(a, b, f"m{a}") for a, b in zip(cuts[::2], cuts[1::2], strict=True)], base_spans))
+    df = spark.createDataFrame(rows, f"k long, f {secrets.SPANS}, b {secrets.SPANS}").withColumn("b", F.transform("b", lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("order"), x["end"].alias("end"))))
+    for x in df.select("k", secrets.apart(F.col("f"), F.col("b")).alias("free")).collect():
+        _, found, taken = rows[x.k]
+        assert [tuple(s) for s in x.free] == [m for m in found if not any(a < m[1] and m[0] < b for a, b, _ in taken)]
+
+
+def test_step_up_equals_a_plain_one(spark):
+    r = random.Random(13)
+    rows = [(s, r.choice((r.randint(0, 60), r.randint(300, 2000)))) for s in ("a", "b", "c") for _ in range(300)]
+    got = secrets.step_up(spark.createDataFrame(rows, "stratum string, step long"), 0.05)
+    for s in "abc":
+        steps = sorted((x for t, x in rows if t == s), reverse=True)
+        ok = [x for i, x in enumerate(steps) if 2.718281828459045 ** (-x / secrets.GRID) <= 0.05 * sum(y >= x for y in steps) / len(steps)]
+        assert got.get(s) == (min(ok) if ok else None)
+
+
+def test_recall_of_keys_in_addresses_and_paths(spark):
+    r = random.Random(14)
+    key = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    b64, url, plain = string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_letters + string.digits
+    rows = [(i, f"see {key(plain, 30)}-{key(plain, 20)}/v1 there") for i in range(50)]
+    rows += [(100 + i, f"at https://host.example/items/{key(url, 43)}/view there") for i in range(50)]
+    rows += [(200 + i, f"is {key(b64, 44)} there") for i in range(50)]
+    rows += [(300 + i, f"in src/lib_x/{key(plain, 40)}/my-file there") for i in range(50)]
+    rows += [(1000 + i, prose(i, 60)) for i in range(50)]
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [sum(got[at + i].n_random > 0 for i in range(50)) for at in (0, 100, 200, 300, 1000)]
+    assert min(found[:4]) >= 45 and found[4] == 0, found
