@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,24 @@ def after(df: DataFrame, key: list[str], last: tuple | None, limit: int) -> Data
     return df.orderBy(*key).limit(limit)
 
 
+def encode_cursor(last: tuple) -> str:
+    """An opaque text for the key that a page ended with."""
+    return base64.urlsafe_b64encode(json.dumps(list(last)).encode()).decode()
+
+
+def decode_cursor(cursor: str | None) -> tuple | None:
+    """The key in a cursor, None for the first page; anything else is an error."""
+    if not cursor:
+        return None
+    try:
+        key = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+    except ValueError as e:
+        raise ValueError("bad cursor") from e
+    if not isinstance(key, list):
+        raise ValueError("bad cursor")
+    return tuple(key)
+
+
 def null_rate(df: DataFrame, columns: list[str]) -> DataFrame:
     """For each column the share of rows that are null or blank: one pass, one row for each column."""
     blank = [F.round(F.avg(F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), 1.0).otherwise(0.0)), 4).alias(c) for c in columns]

@@ -204,3 +204,37 @@ def unrestricted(spark, d):
     """Documents that are of no restricted source and hold no word of a restricted category."""
     words = F.contains(F.lower("text"), F.lit("password")) | F.contains(F.lower("text"), F.lit("@"))
     return table(spark, d, "documents").where(~(F.col("source").isin("src3", "src7") | words)).select("doc_id")
+
+
+@query("""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - d, 12) DESC, vec_id) AS r FROM d)
+SELECT query_id, vec_id, round(greatest(0.0, 1 - d / 2), 4) AS event_score, round(1 - d, 4) AS unit_score FROM r WHERE r <= 4""")
+def layer_scores(spark, d):
+    """One distance on the scales of two layers, which aren't comparable: half of it from one, and all of it."""
+    from ..operators import vectors
+
+    e = table(spark, d, "embeddings")
+    near = vectors.nearest(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).where("vec_id <> query_id")
+    from pyspark.sql import Window
+
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("r <= 4")
+    away = 1 - F.col("score")
+    return first.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), 1 - away / 2), 4).alias("event_score"), F.round(1 - away, 4).alias("unit_score"))
+
+
+@query("""WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'd' || (event_id % 1500) WHEN 1 THEN 'd' || (event_id % 1500) || '-part' ELSE 'x' || event_id END AS ref FROM events), k AS (SELECT 'd' || doc_id AS id FROM documents)
+SELECT CASE WHEN ref IN (SELECT id FROM k) THEN 'valid' WHEN split_part(ref, '-', 1) IN (SELECT id FROM k) THEN 'repaired' ELSE 'dropped' END AS outcome, count(*) AS n FROM r GROUP BY 1""")
+def reference_repair(spark, d):
+    """References that are known, those known once what follows their first dash is cut off, and the rest."""
+    i = F.col("event_id")
+    ref = F.when(i % 3 == 0, F.concat(F.lit("d"), (i % 1500).cast("string"))).when(i % 3 == 1, F.concat(F.lit("d"), (i % 1500).cast("string"), F.lit("-part"))).otherwise(F.concat(F.lit("x"), i.cast("string")))
+    rows = table(spark, d, "events").select(ref.alias("ref")).withColumn("head", F.split_part("ref", F.lit("-"), F.lit(1)))
+    known = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("head")).withColumn("there", F.lit(True))
+    outcome = F.when(F.col("there").isNull(), "dropped").when(F.col("ref") == F.col("head"), "valid").otherwise("repaired")
+    return rows.join(known, "head", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, count(DISTINCT source) AS sources, sum(n)::BIGINT AS documents, sum(chars)::BIGINT AS chars FROM (SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1, 2) GROUP BY 1")
+def flow_rollup(spark, d):
+    """Sums of sums: what each language's sources hold."""
+    by = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return by.groupBy("lang").agg(F.countDistinct("source").alias("sources"), F.sum("n").alias("documents"), F.sum("chars").alias("chars"))
