@@ -65,3 +65,41 @@ def test_keep_good(spark, empty):
     want = [r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted]
     assert sorted(kept) == sorted(want)
     assert quality.keep_good(empty, labels).collect() == []
+
+
+def test_score_equals_log_densities_worked_out_plainly(spark):
+    """Prior, shrinkage, log-determinant and Mahalanobis distance from the definition, without Cholesky factors."""
+    docs, labels, known = corpus(spark)
+    own, share = 0.4, 0.1
+    model = quality.fit(quality.document_vectors(docs), labels.selectExpr("doc_id", "quality AS label"), own, share)
+    rows = {r.doc_id: r.text.encode() for r in docs.collect()}
+    x = {k: quality.features([rows[i] for i, v in known.items() if v == k]) for k in (0, 1)}
+    n = {k: len(v) for k, v in x.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    seen = quality.features(list(rows.values()) + [b"", b"one", b"\n \t"])
+    logs = []
+    for k in (0, 1):
+        c = (own * cov[k] + (1 - own - share) * pooled) / np.outer(scale, scale) + (share + 1e-6) * np.eye(len(scale))
+        away = (seen - x[k].mean(axis=0)) / scale
+        logs.append(np.log(n[k]) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    assert np.allclose(quality.posterior(model, seen), want, atol=1e-6)
+
+
+def test_keep_good_beside_clashing_columns(spark, awkward):
+    docs, labels, _ = corpus(spark)
+    rows = docs.selectExpr("doc_id", "text", "'x' AS label", "'y' AS f", "'z' AS score", "'w' AS good", "1 AS quality")
+    kept = quality.keep_good(rows, labels)
+    assert kept.columns == rows.columns and kept.count() == quality.keep_good(docs, labels).count()
+    assert quality.keep_good(awkward, labels).columns == awkward.columns
+
+
+def test_long_text_is_scored_whole(spark, longest):
+    whole = quality.features([longest.encode()])[0]
+    assert np.isclose(whole[0], np.log1p(len(longest.encode().split())))
+    docs, labels, _ = corpus(spark)
+    more = docs.union(spark.createDataFrame([(999, longest)], "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in quality.classify(more, labels).collect()}
+    assert 0 <= got[999] <= 1
