@@ -1,10 +1,11 @@
 """Line dedup (operator 3): of equal or nearly equal lines of the whole corpus the first stays.
 
-Equal lines are joined by their hashes. Lines within ``edits`` byte edits share a segment: every line is split into
-edits + 1 segments, which are the index, and probes the index of its own and of the next smaller lengths with the
-substrings that can be such a segment. Pairs of one segment are sifted by their parity of byte pairs, an edit changes
-four of those bits at most, and verified by the banded bit-parallel edit distance. A segment of many lines first
-joins each to one hub and then only lines that are still apart.
+Equal lines are joined by their hashes. Lines within as many byte edits as the shorter one's length allows share a
+segment: every line is split into edits + 1 segments, which are the index, and probes the index of its own and of the
+next smaller lengths with the substrings that can be such a segment. A sieve of the index holds back the probes that
+can't meet anything. Pairs of one segment are sifted by their parity of byte pairs, an edit changes four of those bits
+at most, and verified by the banded bit-parallel edit distance. A segment of many lines first joins each to a few hubs
+and then only lines that are still apart.
 """
 
 from __future__ import annotations
@@ -20,8 +21,13 @@ from ._shared import bit_sieve, components, materialize, unused
 from ._words import PIECE, SPACE, groups, hashes, mix, powers, texts_of
 
 EDITS = 1
-LONG = 20  # bytes from which lines are compared by edits, shorter ones by equality
+LONG = 20  # bytes from which lines are compared by a fixed number of edits
+#: Edits by the bytes of the shorter line: a tenth of it, until what three edits cost is reached; under ten bytes that is none.
+BY_LENGTH = ((10, 1), (40, 2), (80, 3))
+ONE_EDIT = ((10, 1),)  # what the registered query and the pipeline take: pairs at more edits grow with the square of a hot group
+Steps = tuple[tuple[int, int], ...]
 FEW = 16  # entries of a segment of which all pairs are made at once
+HUBS = 8  # entries that stand for a segment of more; those near any of them need no pairs among themselves
 PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,29 +82,88 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def keys(lines: Lines, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parity of byte pairs, index keys and probe keys of each line."""
-    buf, start, end = lines.buf, lines.start, lines.end
-    up, down = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
+class Segments:
+    """Keys of segments and substrings of lines."""
+
+    def __init__(self, lines: Lines):
+        self.buf, self.start, self.length = lines.buf, lines.start, lines.end - lines.start
+        _, self.down = powers(len(self.buf) + 1)
+        up, _ = powers(len(self.buf) + 1)
+        self.total = np.zeros(len(self.buf) + 1, np.uint64)
+        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=self.total[1:])
+
+    def key(self, length: np.ndarray, i: int, a: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix((self.total[a + size] - self.total[a]) * self.down[a] + length.astype(np.uint64) * PAD + np.uint64(i))
+
+    def index(self, at: np.ndarray, edits: int) -> list[np.ndarray]:
+        """Keys of the segments of the lines ``at``."""
+        return [self.key(self.length[at], i, self.start[at] + p, size) for i, (p, size) in enumerate(segments(self.length[at], edits))]
+
+    def probe(self, at: np.ndarray, edits: int, less: int) -> list[tuple[bool, np.ndarray]]:
+        """(own, keys): substrings of the lines ``at`` that may be segments of lines shorter by ``less``; own: it is the line's own segment."""
+        out = []
+        length = self.length[at] - less
+        for i, (p, size) in enumerate(segments(length, edits)):
+            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
+                a = np.clip(self.start[at] + p + shift, 0, len(self.buf) - size)  # a substring outside the line matches nothing true
+                out.append((less == 0 and shift == 0, self.key(length, i, a, size)))
+        return out
+
+
+def parities(lines: Lines) -> np.ndarray:
+    """Parity of the pairs of neighbouring bytes of each line, by 64 kinds."""
+    buf = lines.buf
     pair = np.zeros(len(buf) + 1, np.uint64)
     pair[: len(buf) - 1] = np.uint64(1) << (((buf[:-1].astype(np.uint64) << np.uint64(8)) | buf[1:]) * PAD >> np.uint64(58))
     seen = np.bitwise_xor.accumulate(np.concatenate([[np.uint64(0)], pair]))
-    parity = seen[end - 1] ^ seen[start]
+    return seen[lines.end - 1] ^ seen[lines.start]
 
-    def key(length: np.ndarray, i: int, a: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return mix((total[a + size] - total[a]) * down[a] + length.astype(np.uint64) * PAD + np.uint64(i))
 
-    length = end - start
-    index = [key(length, i, start + p, size) for i, (p, size) in enumerate(segments(length, edits))]
-    probe = []
-    for less in range(edits + 1):
-        for i, (p, size) in enumerate(segments(length - less, edits)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                a = np.clip(start + p + shift, 0, len(buf) - size)  # a substring outside the line matches nothing true
-                probe.append(key(length - less, i, a, size))
-    return parity, np.stack(index, 1), np.stack(probe, 1)
+def keys(lines: Lines, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parity of byte pairs, index keys and probe keys of each line at one threshold."""
+    s, every = Segments(lines), np.arange(len(lines.start))
+    return parities(lines), np.stack(s.index(every, edits), 1), np.stack([k for less in range(edits + 1) for _, k in s.probe(every, edits, less)], 1)
+
+
+def classes_of(steps: Steps) -> list[tuple[int, int, int]]:
+    """(from bytes, up to bytes, edits) of each length class."""
+    return [(lo, hi, e) for (lo, e), (hi, _) in zip(steps, (*steps[1:], (1 << 40, 0)), strict=True)]
+
+
+def index_keys(lines: Lines, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the segments, each line's by the class of its length."""
+    s = Segments(lines)
+    rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo, hi, edits in classes_of(steps):
+        at = np.flatnonzero((s.length >= lo) & (s.length < hi))
+        for k in s.index(at, edits) if len(at) else ():
+            rows.append(at)
+            out.append(k)
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def probe_keys(lines: Lines, steps: Steps, every, repeated) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the probes that the sieves ``every`` (all index keys) and ``repeated`` (those of several lines) let pass.
+
+    A line probes each shorter length by that length's class.
+    """
+    s = Segments(lines)
+    rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo, hi, edits in classes_of(steps):
+        for less in range(edits + 1):
+            at = np.flatnonzero((s.length - less >= lo) & (s.length - less < hi))
+            for own, k in s.probe(at, edits, less) if len(at) else ():
+                hit = (repeated if own else every).has(k)
+                rows.append(at[hit])
+                out.append(k[hit])
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def threshold(n: F.Column, steps: Steps) -> F.Column:
+    out = F.lit(0)
+    for lo, edits in steps:
+        out = F.when(n >= lo, edits).otherwise(out)
+    return out
 
 
 def distances(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
@@ -137,26 +202,34 @@ def distances(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
     return np.minimum(score, edits + 1)
 
 
-def _entries(docs: DataFrame, edits: int, long: int) -> DataFrame:
-    """(doc_id, t, number, h, n, parity, index, probe) of every line that isn't blank; keys of long lines only."""
-    names = ["doc_id", "t", "number", "h", "n", "parity", "index", "probe"]
+def _entries(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, number, h) of every line that isn't blank."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, lines in lines_of(texts_of(b.column(2))):
-                if not len(lines.hash):
-                    continue
-                at = pa.array(lines.text + i)
-                parity, index, probe = keys(lines, edits)
-                size = lines.end - lines.start
-                big = size >= long
+                if len(lines.hash):
+                    at = pa.array(lines.text + i)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lines.number), pa.array(lines.hash.view(np.int64))], ["doc_id", "t", "number", "h"])
 
-                def lists(x: np.ndarray, big: np.ndarray = big) -> pa.Array:
-                    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(big * x.shape[1])]), pa.int32()), pa.array(x[big].ravel().view(np.int64)))
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(rows, "doc_id long, t long, number long, h long")
 
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lines.number), pa.array(lines.hash.view(np.int64)), pa.array(size), pa.array(parity.view(np.int64)), lists(index), lists(probe)], names)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(rows, "doc_id long, t long, number long, h long, n long, parity long, index array<long>, probe array<long>")
+def _keyed(docs: DataFrame, steps: Steps, sieves=None) -> DataFrame:
+    """(k, h, n, parity): index keys of the lines, of equal lines in a task once; with ``sieves``, the probes that pass them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, lines in lines_of(texts_of(b.column(0))):
+                one = np.sort(np.unique(lines.hash, return_index=True)[1])
+                lines.start, lines.end, lines.hash = lines.start[one], lines.end[one], lines.hash[one]
+                if not len(one):
+                    continue
+                at, k = index_keys(lines, steps) if sieves is None else probe_keys(lines, steps, *sieves.value)
+                parity, n = parities(lines).view(np.int64), lines.end - lines.start
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(lines.hash.view(np.int64)[at]), pa.array(n[at]), pa.array(parity[at])], ["k", "h", "n", "parity"])
+
+    return docs.select("text").mapInArrow(rows, "k long, h long, n long, parity long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -175,8 +248,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(docs.select("text").mapInArrow(rows, "h long, line binary").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
-    """The pairs of line hashes (a, b) whose lines are within ``edits``."""
+def _verify(docs: DataFrame, pairs: DataFrame, steps: Steps) -> DataFrame:
+    """The pairs of line hashes (a, b) whose lines are within the edits that the shorter one allows."""
     wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     texts = _texts(docs, wanted)
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
@@ -184,76 +257,85 @@ def _verify(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             la, lb = b.column(2).to_pylist(), b.column(3).to_pylist()
-            order = sorted(range(len(la)), key=lambda i: len(la[i]))
-            keep, start = [], 0
-            while start < len(order):
-                end = start
-                while end < len(order) and (end - start + 1) * len(la[order[end]]) <= 1 << 22 or end == start:
-                    end += 1
-                part = order[start:end]
-                good = distances([la[i] for i in part], [lb[i] for i in part], edits) <= edits
-                keep += [i for i, g in zip(part, good, strict=True) if g]
-                start = end
+            keep = []
+            for lo, hi, edits in classes_of(steps):
+                order = sorted((i for i in range(len(la)) if lo <= min(len(la[i]), len(lb[i])) < hi and abs(len(la[i]) - len(lb[i])) <= edits), key=lambda i: len(la[i]))
+                start = 0
+                while start < len(order):
+                    end = start
+                    while end < len(order) and (end - start + 1) * len(la[order[end]]) <= 1 << 22 or end == start:
+                        end += 1
+                    part = order[start:end]
+                    good = distances([la[i] for i in part], [lb[i] for i in part], edits) <= edits
+                    keep += [i for i, g in zip(part, good, strict=True) if g]
+                    start = end
             yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     return materialize(both.select("a", "b", "la", "lb").mapInArrow(rows, "a long, b long"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, long: int = LONG) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
     """(lines, repeated): every line's (doc_id, t, number, h), and (h, first) of the line hashes that occur again.
 
     first is the place (doc_id, t, number) of the first line of the class; t is the xxhash64 of the text.
     """
-    all_lines = materialize(_entries(docs, edits, long))
-    distinct = all_lines.groupBy("h").agg(
-        F.min(F.struct("doc_id", "t", "number")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("index").alias("index"), F.first("probe").alias("probe")
-    )
-    distinct = materialize(distinct)
-    index = distinct.select(F.explode("index").alias("k"), "h", "n", "parity")
-    probe = distinct.select(F.explode("probe").alias("k"), "h", "n", "parity")
+    all_lines = materialize(_entries(docs))
+    distinct = materialize(all_lines.groupBy("h").agg(F.min(F.struct("doc_id", "t", "number")).alias("first"), F.count("*").alias("c")))
+    index = materialize(_keyed(docs, steps).groupBy("k", "h").agg(F.first("n").alias("n"), F.first("parity").alias("parity")))
+    counts = materialize(index.groupBy("k").agg(F.count("*").alias("c")))
+    sieves = docs.sparkSession.sparkContext.broadcast((bit_sieve(counts.select(F.col("k").alias("h"))), bit_sieve(counts.where("c > 1").select(F.col("k").alias("h")))))
+    probe = materialize(_keyed(docs, steps, sieves).distinct())
+
+    def near(n: F.Column, m: F.Column, p: F.Column, q: F.Column) -> F.Column:
+        edits = threshold(F.least(n, m), steps)
+        return (F.abs(n - m) <= edits) & (F.bit_count(p.bitwiseXOR(q)) <= 4 * edits)
 
     def pairs(x: DataFrame, y: DataFrame, *more: F.Column) -> DataFrame:
-        close = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= 4 * edits
         longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.h") < F.col("y.h")))
-        on = (F.col("x.k") == F.col("y.k")) & longer & (F.col("x.n") - F.col("y.n") <= edits) & close
+        on = (F.col("x.k") == F.col("y.k")) & longer & near(F.col("x.n"), F.col("y.n"), F.col("x.parity"), F.col("y.parity"))
         for m in more:
             on &= m
         return x.alias("x").join(y.alias("y"), on).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
 
-    counts = index.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct("n", "h", "parity")).alias("hub"))
-    big = materialize(counts.where(F.col("c") > FEW))
+    big = materialize(counts.where(F.col("c") > FEW).select("k"))
     few = pairs(probe, index.join(big, "k", "left_anti"))
-    asks, holds = (materialize(d.join(big.select("k", "hub"), "k")) for d in (probe, index))
-    hub = F.col("hub.h")
-    near = (F.col("h") != hub) & (F.abs(F.col("n") - F.col("hub.n")) <= edits) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("hub.parity"))) <= 4 * edits)
-    to_hub = asks.where(near).select(F.when(F.col("n") > F.col("hub.n"), F.col("h")).otherwise(F.when(F.col("n") < F.col("hub.n"), hub).otherwise(F.least("h", hub))).alias("a"), "h", "hub")
-    to_hub = to_hub.select("a", F.when(F.col("a") == F.col("h"), F.col("hub.h")).otherwise(F.col("h")).alias("b"))
+    asks, holds = (materialize(d.join(big, "k")) for d in (probe, index))
+    hubs = holds.groupBy("k", F.pmod("h", F.lit(HUBS)).alias("hub")).agg(F.min(F.struct("n", "h", "parity")).alias("y"))
+    x, y = asks.alias("x"), hubs.select("k", "y.*").alias("y")
+    to_hub = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & near(F.col("x.n"), F.col("y.n"), F.col("x.parity"), F.col("y.parity")))
+    longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.h") < F.col("y.h")))
+    to_hub = to_hub.select(F.when(longer, F.col("x.h")).otherwise(F.col("y.h")).alias("a"), F.when(longer, F.col("y.h")).otherwise(F.col("x.h")).alias("b"))
     first = materialize(few.union(to_hub).distinct())
-    edges = _verify(docs, first, edits)
+    edges = _verify(docs, first, steps)
     parts = components(edges)
     labels = parts.withColumnRenamed("node", "h")
-
-    def labelled(d: DataFrame) -> DataFrame:
-        return materialize(d.drop("hub").join(labels, "h", "left").withColumn("comp", F.coalesce("comp", "h")))
-
-    rest = materialize(pairs(labelled(asks), labelled(holds), F.col("x.comp") != F.col("y.comp")).join(first, ["a", "b"], "left_anti"))
+    asks, holds = (materialize(d.join(labels, "h", "left").withColumn("comp", F.coalesce("comp", "h"))) for d in (asks, holds))
+    # A segment all of whose lines are one class by now brings nothing together.
+    open_keys = asks.select("k", "comp").union(holds.select("k", "comp")).groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
+    open_keys = materialize(open_keys)
+    asks, holds = (d.join(open_keys, "k", "left_semi") for d in (asks, holds))
+    rest = materialize(pairs(asks, holds, F.col("x.comp") != F.col("y.comp")).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        parts = components(edges.union(_verify(docs, rest, edits)))
-    classes = distinct.select("h", "first", "c").join(parts.withColumnRenamed("node", "h"), "h", "left")
+        parts = components(edges.union(_verify(docs, rest, steps)))
+    classes = distinct.join(parts.withColumnRenamed("node", "h"), "h", "left")
     again = materialize(classes.where((F.col("c") > 1) | F.col("comp").isNotNull()).select("h", "first", F.coalesce("comp", "h").alias("comp")))
     least = again.groupBy("comp").agg(F.min("first").alias("first"))
-    return all_lines.select("doc_id", "t", "number", "h"), again.select("h", "comp").join(least, "comp").select("h", "first")
+    return all_lines, again.select("h", "comp").join(least, "comp").select("h", "first")
+
+
+def _steps(edits: int | Steps, long: int) -> Steps:
+    return ((long, edits),) if isinstance(edits, int) else edits
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, long: int = LONG) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int | Steps = EDITS, long: int = LONG) -> DataFrame:
     """(doc_id, t, dropped): for each text with lines that go, their sorted numbers from 0; t is the text's xxhash64."""
-    lines, again = line_classes(docs, edits, long)
+    lines, again = line_classes(docs, _steps(edits, long))
     here = F.struct("doc_id", "t", "number")
     gone = lines.join(again, "h").where(~here.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("number")).alias("dropped"))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, long: int = LONG) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int | Steps = EDITS, long: int = LONG) -> DataFrame:
     """Rows (doc_id, n_lines, n_dropped, dropped), one for each row of ``docs``.
 
     Lines part at \\n and are compared without ASCII white space at their ends; blank lines always stay. Lines of
@@ -270,7 +352,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, long: int = LONG) -> Data
     return joined.select(all_docs["doc_id"], "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, long: int = LONG) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | Steps = EDITS, long: int = LONG) -> DataFrame:
     """``docs`` without repeated lines: text and n_chars follow, other columns and the order of lines stay.
 
     Documents that lose every line that isn't blank go; documents that had none stay as they are.

@@ -48,7 +48,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dropped_lines(documents(spark, sf_dir))
+    return line_dedup.dropped_lines(documents(spark, sf_dir), line_dedup.ONE_EDIT)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

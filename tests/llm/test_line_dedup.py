@@ -50,7 +50,9 @@ def test_banded_distance_and_shared_segments():
                 assert int(parity[0] ^ parity[1]).bit_count() <= 4 * e
 
 
-def brute(rows, edits, long):
+def brute(rows, edits, long=0):
+    """edits: a number for lines of ``long`` bytes or more, or steps by the shorter line's bytes."""
+    steps = ((long, edits),) if isinstance(edits, int) else edits
     lines = []
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n")):
@@ -66,7 +68,8 @@ def brute(rows, edits, long):
     for i, (_, _, x) in enumerate(lines):
         for j in range(i):
             y = lines[j][2]
-            if x == y or (min(len(x), len(y)) >= long and abs(len(x) - len(y)) <= edits and levenshtein(x, y) <= edits):
+            most = max((e for lo, e in steps if min(len(x), len(y)) >= lo), default=0)
+            if x == y or (most and abs(len(x) - len(y)) <= most and levenshtein(x, y) <= most):
                 comp[find(i)] = find(j)
     first = {}
     for i, (d, k, _) in enumerate(lines):
@@ -115,3 +118,12 @@ def test_long_texts_keep_their_line_numbers():
     want = [(k, x.strip(WHITE)) for k, x in enumerate(text.split("\n")) if x.strip(WHITE)]
     got = [(int(n), p.buf[s:e].tobytes().decode()) for _, p in ld.lines_of([text.encode()]) for n, s, e in zip(p.number, p.start, p.end, strict=True)]
     assert len(text) > 2 * ld.PIECE and got == want
+
+
+def test_edits_by_length_equal_brute_force(spark):
+    r = random.Random(19)
+    bases = [bytes(r.choice(b"abcdefgh ") for _ in range(n)).strip() for n in (6, 9, 10, 11, 14, 38, 39, 40, 41, 43, 60, 78, 79, 80, 82, 83, 120) for _ in range(2)]
+    rows = [(d, "\n".join(edited(r, r.choice(bases), r.choice((0, 1, 1, 2, 3, 4))).decode() for _ in range(6))) for d in range(70)]
+    rows += [(100 + d, f"{d % 7}\n{'x' * (d % 4)}{d % 3}") for d in range(20)]  # short lines with one edit between them stay apart
+    got = {x.doc_id: list(x.dropped) for x in ld.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string"), ld.BY_LENGTH).collect()}
+    assert got == brute(rows, ld.BY_LENGTH)
