@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or line has, nearly or exactly; those left without a line go."""
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, line_dedup.ONE_EDIT)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
