@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, lm, mixing, quality, secrets, token_counts
+from . import alignment, chosen_path, decontaminate, fingerprint, jaccard_join, lexical_search, licenses, line_dedup, lm, mixing, quality, secrets, token_counts
 from ._shared import documents, table
 
 
@@ -55,6 +55,27 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(documents(spark, sf_dir))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(documents(spark, sf_dir), width=4, similarity=(80, 100))
+
+
+TOKENIZERS = "/opt/tokenizers"  # unless spark.driftwell.tokenizers names another folder
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = spark.conf.get("spark.driftwell.tokenizers", TOKENIZERS)
+    files = []
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        with open(f"{folder}/{name}", "rb") as f:
+            files.append(f.read())
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.Alignment(*files).align(documents(spark, sf_dir)).withColumn("groups_sha256", groups).drop("groups")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=20)
+
+
 OP2_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, left(md5('17:' || coalesce(doc_id::VARCHAR, '')), 16) AS key
@@ -98,9 +119,36 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s JOIN
 """
 
 
+OP11_SQL = OP10_SQL.replace("len(w) < 3", "len(w) < 4").replace("len(w) - 1", "len(w) - 2").replace("|| ' ' || w[i + 2])", "|| ' ' || w[i + 2] || ' ' || w[i + 3])").replace("90 *", "80 *").replace("m.component_id FROM", "m.component_id, s.doc_id = m.component_id AS kept FROM")
+
+
+OP13_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), sized AS (
+  SELECT doc_id, t, len(t)::BIGINT AS n FROM terms WHERE len(t) > 0
+), total AS (
+  SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM sized
+), asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), postings AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total
+), scored AS (
+  SELECT a.item_id, p.doc_id, sum(a.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * nd) // l))))::BIGINT AS score
+  FROM asked a JOIN postings p USING (term) JOIN weights w USING (term), total GROUP BY a.item_id, p.doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_lm_score, op5_decontaminate, op6_license_scan, op7_token_counts, op8_fingerprint, op9_quality, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_lm_score, op5_decontaminate, op6_license_scan, op7_token_counts, op8_fingerprint, op9_quality, op10_ngram_jaccard_join, op11_minhash_near_dedup, op12_align_tokenizers, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op11_minhash_near_dedup": OP11_SQL, "op13_lexical_search": OP13_SQL}
