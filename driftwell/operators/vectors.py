@@ -1,4 +1,4 @@
-"""Vectors: nearest rows to a stated query set, and similar pairs in blocks."""
+"""Vectors: nearest rows to a stated query set, and similar pairs by lists of a clustered index."""
 
 from __future__ import annotations
 
@@ -6,67 +6,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 1000, 20_000  # vectors of a task's two sides
-PAIR_BLOCK = 2048  # vectors of a block of similar pairs
+from . import vector_index
+from .vector_index import _stack, unit
 
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+QUERY_BLOCK, ROW_BLOCK = 4096, 2048  # queries that a task is sent, rows of its products
+SALT = 64  # groups in which a query's results of all tasks meet first
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, ident, score, rank): the k most similar rows of ``df`` to each query by cosine, ties by id.
 
-    Queries and rows are dealt to blocks by hash and each pair of blocks is one task's matrix product, which hands on
-    k rows for each query; the best of these are the result. Block counts follow the tables, so a task holds at most
-    some QUERY_BLOCK queries and ROW_BLOCK rows and nothing passes through the driver.
+    Exact, for a stated query set: the rows stay where they are, and queries are sent to them in blocks of some
+    QUERY_BLOCK vectors. A task keeps k rows for each query and hands those on. ``vector_index`` has the search that
+    opens few rows.
     """
-    n_rows, n_queries = df.count(), queries.count()
-    r, q = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = df.select(every(q).alias("qb"), of(ident, r).alias("rb"), F.lit(False).alias("asks"), F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"))
-    asks = queries.select(of("query_id", q).alias("qb"), every(r).alias("rb"), F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), F.col(vector).alias("v"))
-
-    def best(b: pd.DataFrame) -> pd.DataFrame:
-        left, right = b[b["asks"]], b[~b["asks"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], ident: [], "score": []}).astype({"query_id": "int64", ident: "int64", "score": "float64"})
-        s = _unit(np.stack(left["v"].to_numpy()).astype(float)) @ _unit(np.stack(right["v"].to_numpy()).astype(float)).T
-        own = right["id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(own, s.shape), -s.round(12)), axis=1)[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), order.shape[1]), ident: own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    found = rows.union(asks).groupBy("qb", "rb").applyInPandas(best, f"query_id long, {ident} long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), ident))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def similar(df: DataFrame, least: float, ident: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
+    spark = df.sparkSession
+    asked = queries.where(F.col("query_id").isNotNull() & F.col(vector).isNotNull()).select(F.col("query_id").cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = df.where(F.col(ident).isNotNull() & F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    out = None
+    for block in range(blocks):
+        own = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)).collect()  # a block of bounded size
+        ids = np.array([r.q for r in own], np.int64)
+        sent = spark.sparkContext.broadcast((ids, unit(np.array([r.v for r in own], float)) if own else np.zeros((0, 0))))
+        found = rows.mapInArrow(_best_of(sent, k), "query_id long, id long, score double")
+        out = found if out is None else out.union(found)
+    order = (F.desc(F.round("score", 12)), F.col("id"))
+    first = out.withColumn("salt", F.spark_partition_id() % SALT)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return first.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias(ident), "score", "rank")
+
+
+def _best_of(sent, k: int):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query's place, row's id, score
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(ids) else 0, ROW_BLOCK):
+                b = whole.slice(at, ROW_BLOCK)
+                s = q @ _stack(b.column(1)).T
+                near = s.round(12)
+                least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(q), 1), -np.inf)
+                i, j = np.nonzero(near >= least)
+                row, own, score = (np.concatenate([x, y]) for x, y in zip(kept, (i, b.column(0).to_numpy()[j], s[i, j]), strict=True))
+                order = np.lexsort((own, -score.round(12), row))
+                row, own, score = row[order], own[order], score[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = tuple(x[place < k] for x in (row, own, score))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["query_id", "id", "score"])
+
+    return best
+
+
+def similar(df: DataFrame, least: float, ident: str = "vec_id", vector: str = "embedding", lists: int | None = None) -> DataFrame:
     """(a, b, score) of all pairs a < b with a cosine of ``least`` or more.
 
-    Rows are dealt to blocks by hash and each pair of blocks is one task's matrix product, which hands on the similar
-    pairs alone. ``blocks`` follows the row count, so a task holds two blocks of some PAIR_BLOCK rows; every row goes
-    to ``blocks`` tasks.
+    Rows are put into lists around centroids. Two lists are compared if the angle between their centroids, less the
+    greatest angles inside them, leaves room for ``least``, so rows meet few lists where vectors are clustered and
+    all where they aren't. A list is dealt in chunks; a pair of chunks is one task's matrix product, which hands on
+    the similar pairs alone. ``lists`` follows the row count, MOST_LISTS at most.
     """
-    blocks = blocks or max(1, -(-df.count() // PAIR_BLOCK))
-    low = F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(low, o).alias("x"), F.greatest(low, o).alias("y")))
-    rows = df.select(ident, vector, low.alias("own"), F.explode(pairs).alias("p")).select(ident, vector, "own", "p.x", "p.y")
+    lists = lists or max(1, -(-df.count() // vector_index.CHUNK))
+    index = vector_index.build(df, lists, ident=ident, vector=vector)
+    spark, c = df.sparkSession, index.centroids
+    by = {r.list: (r.n, r.angle) for r in index.lists.collect()}  # MOST_LISTS rows at most
+    used = np.array(sorted(by), np.int64)
+    if not len(used):
+        return spark.createDataFrame([], "a long, b long, score double")
+    angle = np.array([by[k][1] for k in used.tolist()])
+    room = np.arccos(np.clip(c[used] @ c[used].T, -1, 1)) - angle[:, None] - angle[None] <= np.arccos(np.clip(least, -1, 1)) + 1e-7
+    x, y = np.nonzero(np.triu(room))
+    chunks = np.array([-(-by[k][0] // vector_index.CHUNK) for k in used.tolist()])
+    pairs = spark.createDataFrame(pd.DataFrame({"x": used[x].astype("int32"), "y": used[y].astype("int32"), "nx": chunks[x].astype("int32"), "ny": chunks[y].astype("int32")}))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = index.rows.join(pairs.withColumnRenamed("x", "list"), "list").select(F.col("list").alias("x"), "y", F.col("chunk").alias("cx"), to("ny").alias("cy"), F.lit(True).alias("left"), "id", "v")
+    right = index.rows.join(pairs.withColumnRenamed("y", "list"), "list").select("x", F.col("list").alias("y"), to("nx").alias("cx"), F.col("chunk").alias("cy"), F.lit(False).alias("left"), "id", "v")
+    both = left.union(right).where((F.col("x") != F.col("y")) | (F.col("cx") <= F.col("cy")))
 
     def product(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = key
-        left, right = b[b["own"] == x], b[b["own"] == y]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "score": []})
-        s = _unit(np.stack(left[vector].to_numpy()).astype(float)) @ _unit(np.stack(right[vector].to_numpy()).astype(float)).T
+        x, y, cx, cy = key
+        one, other = b[b["left"]], b[~b["left"]]
+        if not len(one) or not len(other):
+            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
+        s = np.stack(one["v"].to_numpy()) @ np.stack(other["v"].to_numpy()).T
         i, j = np.nonzero(s >= least)
-        u, v = left[ident].to_numpy()[i], right[ident].to_numpy()[j]
-        keep = (u < v) if x == y else (u != v)
+        u, v = one["id"].to_numpy()[i], other["id"].to_numpy()[j]
+        keep = (u < v) if (x, cx) == (y, cy) else (u != v)
         return pd.DataFrame({"a": np.minimum(u, v)[keep], "b": np.maximum(u, v)[keep], "score": s[i, j][keep]})
 
-    return rows.groupBy("x", "y").applyInPandas(product, "a long, b long, score double")
+    return both.groupBy("x", "y", "cx", "cy").applyInPandas(product, "a long, b long, score double")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import merge, units, vectors
+from ..operators import merge, term_index, units, vectors
 from ..runtime import materialize
 from ..sources.tables import table
 from .catalogue import Catalogue
@@ -131,21 +131,27 @@ def _retrieved(spark, d):
     asked = docs.where("doc_id % 100 = 0").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]{3,})"), F.lit(1))
     terms = materialize(asked.select("query_id", F.explode(tx.first_distinct(words, 4)).alias("t")))
-    pages = _terms(table(spark, d, "pages"), "page_id", "html").join(terms, "t").groupBy("query_id", F.concat(F.lit("p"), "page_id").alias("id")).agg(F.count("*").cast("double").alias("score")).where("score >= 2")
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.explode(tx.tokens(F.col("text"))).alias("t")).join(terms, "t")
-    weight = turns.groupBy("query_id", "conv_id", "t").agg(F.max(F.when(F.col("turn") == 0, 3).otherwise(2)).alias("w"))
-    cards = weight.groupBy("query_id", F.concat(F.lit("c"), "conv_id").alias("id")).agg(F.sum("w").cast("double").alias("score")).where("score >= 6")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.explode(tx.tokens(F.col("text"))).alias("t"))
+    of = lambda df, layer, ident, score: df.select(F.concat(F.lit(layer), ident).alias("id"), F.concat(F.lit(f"{layer}:"), "t").alias("term"), score.alias("score"))
+    postings = of(_terms(table(spark, d, "pages"), "page_id", "html"), "p", "page_id", F.lit(1)).union(of(_terms(docs, "doc_id", "text"), "d", "doc_id", F.lit(1)))
+    cards = turns.groupBy("conv_id", "t").agg(F.max(F.when(F.col("turn") == 0, 3).otherwise(2)).alias("w"))
+    index = term_index.build_scratch(postings.union(of(cards, "c", "conv_id", F.col("w"))), "layers")
+
+    def found(asked_terms, layer, k, least):
+        hits = term_index.search(index, asked_terms.select("query_id", F.concat(F.lit(f"{layer}:"), "t").alias("term")), k, least=least)
+        return hits.select("query_id", "id", F.col("score").cast("double").alias("score"))
+
     rows = e.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     near = vectors.nearest(rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 4).where("vec_id <> query_id")
     near = near.select("query_id", F.concat(F.lit("d"), "vec_id").alias("id"), F.round("score", 6).alias("score")).where("score >= 0.35")
 
-    def best(found, layer, most):
+    def best(some, layer, most):
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        return found.select("query_id", F.lit(layer).alias("layer"), "id", "score", place.alias("place")).where(F.col("place") <= most)
+        return some.select("query_id", F.lit(layer).alias("layer"), "id", "score", place.alias("place")).where(F.col("place") <= most)
 
-    know = materialize(best(pages, 1, 2).union(best(cards, 2, 2)).union(best(near, 3, 3)))
+    know = materialize(best(found(terms, "p", 2, 2), 1, 2).union(best(found(terms, "c", 2, 6), 2, 2)).union(best(near, 3, 3)))
     open_terms = terms.join(know.select("query_id").distinct(), "query_id", "left_anti")
-    raw = _terms(docs, "doc_id", "text").join(open_terms, "t").where("doc_id <> query_id").groupBy("query_id", F.concat(F.lit("d"), "doc_id").alias("id")).agg(F.count("*").cast("double").alias("score")).where("score >= 3")
+    raw = found(open_terms, "d", 4, 3).where(F.col("id") != F.concat(F.lit("d"), "query_id"))
     every = know.union(best(raw, 4, 3))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("layer", "place")).cast("long")
     return asked.select("query_id"), every.select("query_id", "layer", "id", "score", rank.alias("rank"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nested
 from ..functions import text as tx
+from ..operators import substrings
 from ..sources.tables import table
 from .catalogue import Catalogue
 
@@ -139,12 +140,16 @@ def reference_containers(spark, d):
 p AS (SELECT q.conv_id, q.turn, c.turn AS source, contains(c.text, q.quote) AS exact, c.n FROM q JOIN c ON q.conv_id = c.conv_id AND q.turn <> c.turn WHERE contains(c.text, q.quote) OR len(list_filter(range(1, 6), lambda i: contains(c.text, substring(q.quote, i, 10)))) > 0)
 SELECT conv_id, turn, arg_max(source, (exact::INT, n, -source)) AS source, max(exact::INT)::BIGINT AS exact FROM p GROUP BY 1, 2""")
 def quote_support(spark, d):
-    """For a quote of each turn the other turn of its conversation that supports it best: exact before partial, long before short."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    q = c.select("conv_id", "turn", F.substring("text", 5, 14).alias("quote")).where(F.length("quote") == 14)
-    s = c.select("conv_id", F.col("turn").alias("source"), "text")
-    both = q.join(s, "conv_id").where(F.col("turn") != F.col("source")).where(tx.contiguous_support(F.col("quote"), F.col("text")))
-    rows = both.select("conv_id", "turn", "source", F.contains("text", "quote").cast("long").alias("exact"), F.length("text").alias("n"))
+    """For a quote of each turn the other turn of its conversation that supports it best: exact before partial, long before short.
+
+    Partial support is any run of ten characters of the quote, so turns meet by the runs of ten that quotes have.
+    """
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.xxhash64("conv_id", "turn").alias("id"))
+    q = c.select("conv_id", "turn", "id", F.substring("text", 5, 14).alias("quote")).where(F.length("quote") == 14)
+    runs = q.select(F.col("id").alias("q"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.substr("quote", i, F.lit(10)))).alias("run"), F.col("conv_id"))
+    pairs = substrings.contained_in_group(runs, c.select(F.col("id").alias("t"), "conv_id", "text"), "conv_id")
+    sides = q.select(F.col("id").alias("q"), "conv_id", "turn", "quote").join(pairs, "q").join(c.select(F.col("id").alias("t"), F.col("turn").alias("source"), "text"), "t").where(F.col("turn") != F.col("source"))
+    rows = sides.select("conv_id", "turn", "source", F.contains("text", "quote").cast("long").alias("exact"), F.length("text").alias("n"))
     return rows.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct("exact", "n", (-F.col("source")).alias("first"))).alias("source"), F.max("exact").alias("exact"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import dedup, evaluation, graph, vectors
+from ..operators import dedup, evaluation, graph, vector_index, vectors
 from ..runtime import shared_folder
 from ..sources.tables import table
 from ..streaming import feeds
@@ -128,6 +128,23 @@ def knn_topk(spark, d):
     return _nearest(spark, d, 5).select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(KNN + " WHERE rank <= 10")
+def vector_search(spark, d):
+    """The ten nearest by the clustered index's exact search."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_index.search(vector_index.build(rows), asked, 10, probes=None)
+    return found.select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def vector_recall(spark, d):
+    """Share of the exact results that three quarters of the lists give; these vectors are hardly clustered."""
+    rows = table(spark, d, "embeddings")
+    index = vector_index.build(rows)
+    return vector_index.recall(index, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, -(-3 * len(index.centroids) // 4))
+
+
 @query(f"SELECT k.query_id, k.vec_id, k.score FROM ({KNN}) k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.vec_id WHERE rank <= 6 AND k.query_id <> k.vec_id AND a.label <> b.label")
 def knn_join_filtered(spark, d):
     labels = table(spark, d, "embeddings").select("vec_id", "label")

@@ -107,7 +107,7 @@ def test_vectors_equal_brute_force(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
-    got = sorted((r.a, r.b) for r in vectors.similar(df, 0.3, blocks=3).collect())
+    got = sorted((r.a, r.b) for r in vectors.similar(df, 0.3, lists=3).collect())
     assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.3]
     near = vectors.nearest(df, df.where("vec_id < 3").withColumnRenamed("vec_id", "query_id"), 4).collect()
     for q in range(3):
