@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import materialize
+from . import pointers
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -132,39 +133,29 @@ def export(df: DataFrame, path: str, fmt: str, order: list[Column], limit: int =
 
 
 def publish(df: DataFrame, store: str, generation: str, keys: list[str]) -> None:
-    """Write a generation and point to it; a generation that exists, or has a key twice or null, is refused."""
+    """Write a generation and point to it; a generation that exists, or has a key twice or null, is refused, and so is one that another publisher got ahead of."""
+    spark = df.sparkSession
+    seen = pointers.newest(spark, store)
     twice = df.groupBy(*keys).count().where("count > 1")
     null = df.where(" OR ".join(f"{k} IS NULL" for k in keys))
     if not twice.isEmpty() or not null.isEmpty():
         raise ValueError("keys are null or not unique")
     df.write.mode("error").parquet(f"{store}/generation={generation}")
-    spark = df.sparkSession
-    n = (_pointers(spark, store).agg(F.max("n")).first()[0] or 0) + 1
-    spark.createDataFrame([(n, generation)], "n long, generation string").coalesce(1).write.mode("append").json(f"{store}/_pointers")
-
-
-def _pointers(spark: SparkSession, store: str) -> DataFrame:
-    """(n, generation): one row for each publication; a pointer is a file of its own, there or not there."""
-    schema = "n long, generation string"
-    try:
-        return spark.read.schema(schema).json(f"{store}/_pointers")
-    except AnalysisException:  # nothing published yet
-        return spark.createDataFrame([], schema)
+    pointers.move(spark, store, generation, seen.n if seen else 0)
 
 
 def current(spark: SparkSession, store: str) -> DataFrame:
     """The generation of the newest pointer; a publication that failed before its pointer never shows."""
-    generation = _pointers(spark, store).agg(F.max_by("generation", "n")).first()[0]
-    return spark.read.parquet(f"{store}/generation={generation}")
+    newest = pointers.newest(spark, store)
+    return spark.read.parquet(f"{store}/generation={newest.target if newest else None}")
 
 
 def rollback(spark: SparkSession, store: str, generation: str) -> None:
     """Point to a generation that was published before; the pointers stay as the store's history."""
-    old = _pointers(spark, store)
-    if old.where(F.col("generation") == F.lit(generation)).isEmpty():
+    old = pointers.history(spark, store)
+    if generation not in {p.target for p in old}:
         raise ValueError(f"generation {generation!r} was never published")
-    n = old.agg(F.max("n")).first()[0] + 1
-    spark.createDataFrame([(n, generation)], "n long, generation string").coalesce(1).write.mode("append").json(f"{store}/_pointers")
+    pointers.move(spark, store, generation, max(p.n for p in old))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
