@@ -43,7 +43,8 @@ def tokens(x: Column) -> Column:
 def hits(needle: Column | str, x: Column) -> Column:
     """Non-overlapping occurrences in lower-case text."""
     n = F.lit(needle) if isinstance(needle, str) else needle
-    return ((F.length(x) - F.length(F.replace(F.lower(x), n, F.lit("")))) / F.length(n)).cast("long")
+    low = F.lower(x)  # which may be longer than x
+    return ((F.length(low) - F.length(F.replace(low, n, F.lit("")))) / F.length(n)).cast("long")
 
 
 def skeleton(x: Column) -> Column:

@@ -17,9 +17,10 @@ def equal_groups(df: DataFrame, ident: str, key: Column, least: int = 2) -> Data
 
 def fold(df: DataFrame, ident: str, key: Column, order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``, with merged_count, the rows it stands for; ties by id."""
-    keyed = df.withColumn("_key", F.sha2(F.coalesce(key, F.lit("")), 256))
-    best = keyed.groupBy("_key").agg(F.min(F.struct(*order, F.col(ident).alias("_id"))).alias("_best"), F.count("*").alias("merged_count"))
-    return df.join(best.select(F.col("_best._id").alias(ident), "merged_count"), ident)
+    place = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col(ident).alias("i"))
+    keyed = df.select(F.sha2(F.coalesce(key, F.lit("")), 256).alias("k"), place.alias("o"), F.struct(*df.columns).alias("row"))
+    best = keyed.groupBy("k").agg(F.min_by("row", "o").alias("row"), F.count("*").alias("merged_count"))
+    return best.select("row.*", "merged_count")
 
 
 def leaders(df: DataFrame, bucket: list[str], ident: str, grams: str, least: float) -> DataFrame:

@@ -60,3 +60,40 @@ def exact_bootstrap(values: list[float], rounds: int = 10_000, seed: int = 1701)
     r, n = random.Random(seed), len(values)
     means = sorted(sum(r.choices(values, k=n)) / n for _ in range(rounds))
     return means[int(rounds * 0.025)], means[min(rounds - 1, int(rounds * 0.975))]
+
+
+def pair_quality(found: DataFrame, truth: DataFrame, ident: str, cluster: str, group: str) -> DataFrame:
+    """(pairs_found, pairs_true, pairs_both, precision, recall) of a clustering against groups known to belong together.
+
+    Pairs are counted from the sizes of clusters, groups and what they share, so none is made: sums of n (n - 1) / 2
+    as decimals. Ids that either side lacks or that have a null cluster or group count for neither. Without a pair
+    that is found precision is 1, without a true one recall is.
+    """
+    both = found.select(ident, cluster).join(truth.select(ident, group), ident).where(F.col(cluster).isNotNull() & F.col(group).isNotNull())
+    cells = both.groupBy(cluster, group).agg(F.count("*").alias("n"))
+    n = F.col("n").cast("decimal(19,0)")
+    pairs = F.coalesce(F.sum(n * (n - 1)), F.lit(0)).cast("decimal(38,0)") / 2
+    count = lambda rows, name: rows.agg(pairs.cast("decimal(38,0)").alias(name))
+    by = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n"))
+    one = count(by(cluster), "pairs_found").crossJoin(count(by(group), "pairs_true")).crossJoin(count(cells, "pairs_both"))  # three rows of one
+    share = lambda of: F.when(F.col(of) > 0, F.round(F.col("pairs_both").cast("double") / F.col(of).cast("double"), 6)).otherwise(1.0)
+    return one.select(*(F.col(c).cast("long").alias(c) for c in ("pairs_found", "pairs_true", "pairs_both")), share("pairs_found").alias("precision"), share("pairs_true").alias("recall"))
+
+
+def labelled_gate(found: DataFrame, pairs: DataFrame, ident: str, cluster: str, least: float = 0.8) -> DataFrame:
+    """(resolved, unresolved, merged, recall, false_merges, verdict) for labelled pairs (a, b, same).
+
+    A pair resolves if both ids have a cluster; an id of several clusters is merged with another if any of them is
+    shared. recall is over resolved pairs that belong together; one false merge or a recall under ``least`` fails;
+    without any resolved pair of that kind the gate is not_applicable.
+    """
+    pairs = pairs.select("a", "b", "same").distinct()
+    own = lambda c: found.select(F.col(ident).alias(c), F.col(cluster).alias(f"c{c}")).where(F.col(f"c{c}").isNotNull())
+    met = pairs.join(own("a"), "a").join(own("b"), "b").groupBy("a", "b", "same").agg(F.max((F.col("ca") == F.col("cb")).cast("int")).alias("m"))
+    rows = pairs.join(met, ["a", "b", "same"], "left")
+    one = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
+    there = F.col("m").isNotNull()
+    by = rows.agg(one(there).alias("resolved"), one(~there).alias("unresolved"), one(F.col("same") & there).alias("_p"), one(F.col("same") & (F.col("m") == 1)).alias("merged"), one(~F.col("same") & (F.col("m") == 1)).alias("false_merges"))
+    recall = F.when(F.col("_p") > 0, F.round(F.col("merged") / F.col("_p"), 6))
+    verdict = F.when(F.col("false_merges") > 0, "failed").when(F.col("_p") == 0, "not_applicable").when(recall < least, "failed").otherwise("passed")
+    return by.select("resolved", "unresolved", "merged", recall.alias("recall"), "false_merges", verdict.alias("verdict"))

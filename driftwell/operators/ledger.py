@@ -34,8 +34,13 @@ def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def hash_sum(*parts: Column) -> Column:
-    """Aggregate: the sum of the first 24 bits of each row's md5, alike in any order and added up by partitions."""
-    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 1, 6), 16, 10).cast("long"))
+    """Aggregate: two sums over the rows' md5, 60 bits of each, as text; alike in any order and added up by partitions.
+
+    The sums are decimals, so no number of rows overflows them.
+    """
+    whole = F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
+    part = lambda at: F.sum(F.conv(F.substring(whole, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.concat_ws("-", part(1), part(16))
 
 
 def violations(rules: dict[str, DataFrame]) -> DataFrame:

@@ -73,3 +73,34 @@ def first_state(states: list[tuple[str, Column]], default: str) -> Column:
     for name, condition in reversed(states):
         out = F.when(condition, name).otherwise(out)
     return out
+
+
+class GateFailed(ValueError):
+    """A build isn't good enough to be served."""
+
+
+def canonical(found: DataFrame, units: DataFrame) -> DataFrame:
+    """(canonical_id, subject, answer, kind, confidence, lifecycle, members, reason) of ``found`` (id, representative) and units (id, kind, subject, answer, confidence, stance).
+
+    The representative gives the texts, the least sure member the confidence. Members whose stances differ make a
+    conflict. ``members`` is how many there are; which they are is what ``found`` says.
+    """
+    rows = found.join(units.select("id", "confidence", "stance"), "id")
+    by = rows.groupBy("representative").agg(F.min("confidence").alias("confidence"), F.min("stance").alias("lo"), F.max("stance").alias("hi"), F.count("*").alias("members"))
+    texts = units.select(F.col("id").alias("representative"), "kind", "subject", "answer")
+    lifecycle = F.when(F.col("lo") != F.col("hi"), "conflict").otherwise("current")
+    reason = F.when(F.col("members") > 1, "similar_merge").otherwise("singleton")
+    return by.join(texts, "representative").select(F.col("representative").alias("canonical_id"), "subject", "answer", "kind", "confidence", lifecycle.alias("lifecycle"), "members", reason.alias("reason"))
+
+
+def publish_canonical(built: DataFrame, found: DataFrame, pairs: DataFrame, store: str, producer: str, inputs: dict, seen: int, least: float = 0.8) -> str:
+    """Write a canonical build as a content-addressed run and serve it, unless ``labelled_gate`` fails or can't be applied."""
+    from ..sources import runs
+    from .evaluation import labelled_gate
+
+    gate = labelled_gate(found, pairs, "id", "representative", least).first()
+    if gate.verdict != "passed":
+        raise GateFailed(f"{gate.verdict}: recall {gate.recall}, {gate.false_merges} false merges, {gate.unresolved} pairs unresolved")
+    run = runs.write(built, store, producer, inputs)
+    runs.serve(built.sparkSession, store, run, seen)
+    return run

@@ -87,14 +87,14 @@ def notice_cooldown(spark, d):
     return rows.select("user_id", "event_id", ((F.col("value") > 20) & ~F.coalesce(F.col("ts") < F.col("before") + F.expr("INTERVAL 24 HOURS"), F.lit(False))).alias("sent"))
 
 
-@query("SELECT event_type, max(ts) AS last_seen, count(*) AS n, sum(('0x' || substring(md5(event_id || '|' || value::VARCHAR), 1, 6))::BIGINT)::BIGINT AS digest FROM (SELECT event_type, ts, event_id, round(value)::BIGINT AS value FROM events) GROUP BY 1")
+@query("SELECT event_type, max(ts) AS last_seen, count(*) AS n, sum(('0x' || substring(md5(event_id || '|' || value::VARCHAR), 1, 15))::BIGINT::HUGEINT)::VARCHAR || '-' || sum(('0x' || substring(md5(event_id || '|' || value::VARCHAR), 16, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM (SELECT event_type, ts, event_id, round(value)::BIGINT AS value FROM events) GROUP BY 1")
 def source_digests(spark, d):
     """Governance data of each source: when it was last seen, and a digest that any order of its rows gives."""
     e = _events(spark, d).withColumn("value", F.round("value").cast("long"))
     return e.groupBy("event_type").agg(F.max("ts").alias("last_seen"), F.count("*").alias("n"), ledger.hash_sum(F.col("event_id"), F.col("value")).alias("digest"))
 
 
-@query("SELECT source, count(*) AS n, sum(('0x' || substring(md5(doc_id::VARCHAR), 1, 6))::BIGINT)::BIGINT AS digest FROM documents GROUP BY 1")
+@query("SELECT source, count(*) AS n, sum(('0x' || substring(md5(doc_id::VARCHAR), 1, 15))::BIGINT::HUGEINT)::VARCHAR || '-' || sum(('0x' || substring(md5(doc_id::VARCHAR), 16, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM documents GROUP BY 1")
 def id_digests(spark, d):
     """Order-free digest of each source's ids: sums that partitions add up, whatever a source's size."""
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), ledger.hash_sum(F.col("doc_id")).alias("digest"))
@@ -173,7 +173,7 @@ def resume_unprocessed(spark, d):
     return ledger.unprocessed(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").where("quality = 1"), "doc_id")
 
 
-@query("WITH a AS (SELECT source, sum(('0x' || substring(md5(doc_id || '|' || n_chars), 1, 6))::BIGINT)::BIGINT AS digest FROM documents GROUP BY 1), b AS (SELECT source, sum(('0x' || substring(md5(doc_id || '|' || n_chars), 1, 6))::BIGINT)::BIGINT AS approved FROM documents WHERE doc_id % 97 <> 3 GROUP BY 1) SELECT source, CASE WHEN digest = approved THEN 'approved' ELSE 'stale' END AS status FROM a LEFT JOIN b USING (source)")
+@query("WITH a AS (SELECT source, sum(('0x' || substring(md5(doc_id || '|' || n_chars), 1, 15))::BIGINT::HUGEINT)::VARCHAR || '-' || sum(('0x' || substring(md5(doc_id || '|' || n_chars), 16, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM documents GROUP BY 1), b AS (SELECT source, sum(('0x' || substring(md5(doc_id || '|' || n_chars), 1, 15))::BIGINT::HUGEINT)::VARCHAR || '-' || sum(('0x' || substring(md5(doc_id || '|' || n_chars), 16, 15))::BIGINT::HUGEINT)::VARCHAR AS approved FROM documents WHERE doc_id % 97 <> 3 GROUP BY 1) SELECT source, CASE WHEN digest = approved THEN 'approved' ELSE 'stale' END AS status FROM a LEFT JOIN b USING (source)")
 def baseline_approvals(spark, d):
     """An approval holds while the digest of what was approved is the source's digest."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")

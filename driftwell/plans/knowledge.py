@@ -31,7 +31,7 @@ t AS MATERIALIZED (SELECT id, cluster, {GRAMS.format("lower(regexp_replace(text,
 h AS MATERIALIZED (SELECT a.id AS a, b.id AS b, len(list_intersect(a.raw, b.raw)) AS ir, len(list_intersect(a.bones, b.bones)) AS ik, len(a.raw) + len(b.raw) AS nr, len(a.bones) + len(b.bones) AS nk FROM t a JOIN t b ON a.cluster = b.cluster AND a.id < b.id),
 p AS (SELECT a AS id, ir / (nr - ir) AS jr, ik / (nk - ik) AS jk FROM h UNION ALL SELECT b, ir / (nr - ir), ik / (nk - ik) FROM h),
 m AS (SELECT t.id, t.cluster, skeleton, (max(jr) >= 0.3)::INT AS r, (max(jk) >= 0.3)::INT AS k FROM t JOIN p USING (id) GROUP BY 1, 2, 3),
-good AS (SELECT cluster FROM m GROUP BY 1 HAVING min(r) = 1 AND min(k) = 1 AND count(DISTINCT skeleton) < 1.5 * count(*)),
+good AS (SELECT cluster FROM m GROUP BY 1 HAVING min(r) = 1 AND min(k) = 1 AND count(DISTINCT skeleton) < 0.99 * count(*)),
 l1 AS (SELECT id, 'L1' AS layer, cluster FROM c1 WHERE cluster IN (SELECT cluster FROM good)),
 left2 AS (SELECT * FROM c2 WHERE id NOT IN (SELECT id FROM l1)), n2 AS (SELECT cluster, count(*) AS n FROM left2 GROUP BY 1 HAVING count(*) >= 2),
 l2 AS (SELECT id, CASE WHEN n > 50 THEN 'structural' ELSE 'L2' END AS layer, left2.cluster FROM left2 JOIN n2 ON n2.cluster = left2.cluster),
@@ -39,7 +39,7 @@ x AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2), found AS (SELECT vec_id AS i
 
 
 def _layers(spark, d):
-    return merge.layers(_vectors(spark, d), duplicate=0.46, topic=0.4, raw=0.3, skeleton=0.3, kinds=1.5)
+    return merge.layers(_vectors(spark, d), duplicate=0.46, topic=0.4, raw=0.3, skeleton=0.3, kinds=0.99)
 
 
 @query(LAYERS + "SELECT id, layer, cluster FROM found")

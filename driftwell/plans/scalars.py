@@ -127,13 +127,18 @@ def judgments(spark, d):
     return table(spark, d, "events").select("event_id", relation.alias("relation"), confidence.alias("confidence"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END::BIGINT AS n FROM events")
+REFERENCES = "'[' || string_agg('\"e' || event_id || '\"', ',' ORDER BY event_id) || ']'"
+
+
+@query(f"""WITH r AS (SELECT user_id, {REFERENCES} AS box, count(*) AS n FROM events GROUP BY 1) SELECT user_id, CASE WHEN user_id % 3 = 2 THEN NULL WHEN user_id % 3 = 1 THEN 1 ELSE json_array_length(box) END::BIGINT AS n FROM r""")
 def reference_containers(spark, d):
-    """Containers that are blank, one object, an array and broken, by how many references they hold."""
-    k = F.col("event_id") % 4
-    box = F.when(k == 0, " ").when(k == 1, F.col("props")).when(k == 2, F.concat(F.lit('["e'), F.col("event_id").cast("string"), F.lit('", "x"]'))).otherwise('{"a": ')
-    refs = tx.reference_list(box)
-    return table(spark, d, "events").select("event_id", F.when(refs.isNotNull(), F.size(refs)).cast("long").alias("n"))
+    """References to each user's events: an array, its first one alone as an object, or an array that was cut off."""
+    ids = F.array_sort(F.collect_list("event_id"))
+    by = table(spark, d, "events").groupBy("user_id").agg(F.concat(F.lit('["e'), F.array_join(F.transform(ids, lambda i: i.cast("string")), '","e'), F.lit('"]')).alias("box"), F.min("event_id").alias("first"))
+    k = F.col("user_id") % 3
+    one = F.concat(F.lit('{"id": "e'), F.col("first").cast("string"), F.lit('"}'))
+    refs = tx.reference_list(F.when(k == 0, F.col("box")).when(k == 1, one).otherwise(F.expr("substring(box, 1, length(box) - 2)")))
+    return by.select("user_id", F.when(refs.isNotNull(), F.size(refs)).cast("long").alias("n"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, text, substring(text, 5, 14) AS quote, length(text) AS n FROM conversations), q AS (SELECT conv_id, quote, turn FROM c WHERE length(quote) = 14),
@@ -168,11 +173,13 @@ def sealed_keys(spark, d):
     return table(spark, d, "events").select("event_id", nested.seal_keys(raw, {"Token"}, {"checksum"}).alias("sealed"))
 
 
-@query("SELECT event_id, (event_id % 2 = 0) AS refused FROM events")
+@query("""SELECT conv_id, bool_or(role = 'user') AS refused FROM conversations GROUP BY 1""")
 def private_payloads(spark, d):
-    """Payloads with a forbidden key anywhere are refused."""
-    raw = F.concat(F.lit('[{"a": [{"'), F.when(F.col("event_id") % 2 == 0, "raw_text").otherwise("summary"), F.lit('": 1}]}]'))
-    return table(spark, d, "events").select("event_id", nested.has_key(raw, {"raw_text", "prompt"}).alias("refused"))
+    """Conversations as nested payloads, a turn under its role; those that hold what a user wrote are refused."""
+    turn = F.to_json(F.map_from_arrays(F.array("role"), F.array(F.map_from_arrays(F.array(F.lit("text")), F.array("text")))))
+    by = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(turn), ",").alias("turns"))
+    raw = F.concat(F.lit('{"session": {"turns": ['), "turns", F.lit("]}}"))
+    return by.select("conv_id", nested.has_key(raw, {"user", "prompt"}).alias("refused"))
 
 
 def _sql_redacted(mark) -> str:
