@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PIECE = 1 << 20  # characters of texts that are worked on at a time
-REMEMBERED = 200_000  # units that a worker keeps
+REMEMBERED = 300_000  # units that a worker keeps before it forgets the rare ones
 REMEMBERED_BYTES = 64 << 20
 
 _aligners: dict[str, Aligner] = {}
@@ -90,9 +91,9 @@ def overlaps(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, end
 
 
 class Aligner:
-    """Units with their numbers of tokens and groups, links and written groups."""
+    """Units with their numbers of tokens and groups, links and, if asked for, written groups."""
 
-    def __init__(self, file_a: bytes, file_b: bytes):
+    def __init__(self, file_a: bytes, file_b: bytes, writes: bool = True):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -105,39 +106,71 @@ class Aligner:
         n, m = len(self.bytes_a), len(self.bytes_b)
         # What is written for a token: its id and what parts it from the next one.
         self.written = [b"%d%s" % (k, s) for s in (b",", b"|") for k in range(n)] + [b"%d%s" % (k, s) for s in (b",", b";") for k in range(m)]
-        self.clear()
-
-    def clear(self) -> None:
+        self.writes = writes
         self.index: dict[str, int] = {}
-        self.text: list[bytes] = []
-        self.numbers = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, 1 if bytes differ
-        self.links = np.zeros(0, np.int64)
-        self.at = np.zeros(1, np.int64)
-        self.held = 0
+        self._keep(np.zeros(0, np.int64), first=True)
+
+    def _keep(self, rows: np.ndarray, first: bool = False) -> None:
+        """Forget all units but these rows, which are numbered anew."""
+        if first:
+            self.text, self.numbers, self.links, self.at = [], np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        new = np.full(len(self.numbers), -1)
+        new[rows] = np.arange(len(rows))
+        new = new.tolist()
+        self.index = {u: new[k] for u, k in self.index.items() if new[k] >= 0}
+        n = np.diff(self.at)[rows]
+        ends = np.cumsum(n)
+        self.links = self.links[np.repeat(self.at[rows] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)]
+        self.at = np.concatenate([[0], ends])
+        self.text = [self.text[k] for k in rows.tolist()] if self.writes else []
+        self.numbers = self.numbers[rows]  # A tokens, B tokens, groups, 1 if bytes differ
+        self.uses = np.zeros(len(rows), np.int64)
+        self.held = sum(len(u) for u in self.index)
 
     def full(self) -> bool:
         return len(self.index) > REMEMBERED or self.held > REMEMBERED_BYTES
 
+    def forget(self) -> None:
+        """Keep the units that were met more than once since last time, those most often first and up to half of what fits."""
+        often = np.flatnonzero(self.uses > 1)
+        if self.held > REMEMBERED_BYTES:
+            often = often[:0]
+        self._keep(np.sort(often[np.argsort(-self.uses[often], kind="stable")[: REMEMBERED // 2]]))
+
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The units of each text, as rows of ``numbers``, one text after the other, and how many each has."""
         units = [CUT.split(t) if t else [] for t in texts]
         new = list(set().union(*units).difference(self.index))
         if new:
             self._add(new)
-        get = self.index.__getitem__
-        return np.fromiter((k for u in units for k in map(get, u)), np.int64), np.array([len(u) for u in units], np.int64)
-
-    def _add(self, units: list[str]) -> None:
-        whole = [f" {u}".encode() for u in units]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)]
+        rows = np.array(list(map(self.index.__getitem__, chain.from_iterable(units))), np.int64)
+        self.uses += np.bincount(rows, minlength=len(self.uses))
+        return rows, np.array([len(u) for u in units], np.int64)
+
+    def _tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids of A and of B, none where the bytes of either aren't the unit's, and where that is."""
+        spaced = [f" {u}" for u in units]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         ids_b = self.b.encode(units, num_threads=1)
         joined = lambda ids, of: b"".join(map(of.__getitem__, ids))
-        good = [joined(x, self.bytes_a) == w == joined(y, self.bytes_b) for x, y, w in zip(ids_a, ids_b, whole, strict=True)]
-        bad = [k for k, g in enumerate(good) if not g]
-        for k in bad:
-            ids_a[k], ids_b[k], whole[k] = [], [], b""
+        whole, bad = "".join(spaced).encode(), np.zeros(len(units), bool)
+        size = np.array([len(u.encode()) for u in spaced], np.int64)
+        for ids, of, sizes in ((ids_a, self.bytes_a, self.size_a), (ids_b, self.bytes_b, self.size_b)):
+            flat = list(chain.from_iterable(ids))
+            n = np.array([len(x) for x in ids], np.int64)
+            total = np.concatenate([[0], np.cumsum(sizes[np.array(flat, np.int64)])])
+            ends = np.cumsum(n)
+            # All units at once; only where that fails one by one.
+            if (total[ends] - total[ends - n] != size).any() or joined(flat, of) != whole:
+                bad |= np.array([joined(x, of) != t.encode() for x, t in zip(ids, spaced, strict=True)])
+        for k in np.flatnonzero(bad).tolist():
+            ids_a[k], ids_b[k] = [], []
+        return ids_a, ids_b, bad
+
+    def _add(self, units: list[str]) -> None:
+        ids_a, ids_b, bad = self._tokens(units)
         n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter((t for x in ids for t in x), np.int64) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.array(list(chain.from_iterable(ids)), np.int64) for ids in (ids_a, ids_b))
         end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
         start_a, start_b = end_a - self.size_a[flat_a], end_b - self.size_b[flat_b]
 
@@ -153,10 +186,14 @@ class Aligner:
         unit_a = np.repeat(np.arange(len(units)), n_a)
         groups = np.bincount(unit_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(units)) if n_groups else np.zeros(len(units), np.int64)
         linked = np.bincount(unit_a[i], minlength=len(units))
-        keys = flat_a[i] << 32 | flat_b[j]
-        self.links = np.concatenate([self.links, np.searchsorted(self.pairs, keys)])
+        self.links = np.concatenate([self.links, np.searchsorted(self.pairs, flat_a[i] << 32 | flat_b[j])])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(linked)])
-        self.numbers = np.concatenate([self.numbers, np.column_stack([n_a, n_b, groups, ~np.array(good)])])
+        self.numbers = np.concatenate([self.numbers, np.column_stack([n_a, n_b, groups, bad])])
+        self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
+        self.index.update(zip(units, range(len(self.index), len(self.index) + len(units)), strict=True))
+        self.held += sum(map(len, units))
+        if not self.writes:
+            return
 
         # Groups are written in order, A tokens before B tokens; a token's place follows from how many stand before it.
         below_a, below_b = (np.concatenate([[0], np.cumsum(np.bincount(g, minlength=n_groups))]) for g in (group_a, group_b))
@@ -165,13 +202,10 @@ class Aligner:
         n, m = len(self.bytes_a), len(self.bytes_b)
         keys = np.empty(len(place), np.int64)
         keys[place] = np.concatenate([flat_a + n * last_a, 2 * n + flat_b + m * last_b])
-        written = list(map(self.written.__getitem__, keys.tolist()))
-        at = 0
-        for k, total in enumerate((n_a + n_b).tolist()):
-            self.text.append(b"".join(written[at : at + total]))
-            self.index[units[k]] = len(self.index)
-            self.held += len(self.text[-1]) + 2 * len(units[k])
-            at += total
+        pieces = list(map(self.written.__getitem__, keys.tolist()))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        whole = b"".join(pieces)
+        self.text += [whole[s:e] for s, e in zip(ends, ends[1:], strict=False)]
 
     def counts(self, times: np.ndarray) -> np.ndarray:
         """How often each possible pair is linked when unit k occurs ``times[k]`` times."""
@@ -180,12 +214,12 @@ class Aligner:
         return total
 
 
-def _aligner(files: tuple[str, bytes, bytes]) -> Aligner:
+def _aligner(files: tuple[str, bytes, bytes], writes: bool) -> Aligner:
     """The worker's aligner for these files; it outlives a task."""
     key, a, b = files
-    if key not in _aligners:
+    if key not in _aligners or _aligners[key].writes != writes:
         _aligners.clear()
-        _aligners[key] = Aligner(a, b)
+        _aligners[key] = Aligner(a, b, writes)
     return _aligners[key]
 
 
@@ -233,7 +267,7 @@ class Alignment:
         files = docs.sparkSession.sparkContext.broadcast(self.files)  # as large as the files
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            aligner = _aligner(files.value)
+            aligner = _aligner(files.value, False)
             total = np.zeros(len(aligner.pairs), np.int64)
             times = np.zeros(0, np.int64)
 
@@ -242,7 +276,7 @@ class Alignment:
                 total[:] += aligner.counts(times)
                 times = np.zeros(0, np.int64)
                 if aligner.full():
-                    aligner.clear()
+                    aligner.forget()
 
             for b in batches:
                 texts = [t or "" for t in b.column(0).to_pylist()]
@@ -253,7 +287,7 @@ class Alignment:
                         before, seen = times, times
                         for rows, _ in _rows(aligner, texts[i:j]):
                             if not aligner.numbers[rows, 3].any():
-                                seen = _plus(seen, np.bincount(rows, minlength=len(aligner.text)))
+                                seen = _plus(seen, np.bincount(rows, minlength=len(aligner.numbers)))
                             else:
                                 seen = before
                                 break
@@ -262,7 +296,7 @@ class Alignment:
                     rows, n = aligner.rows(texts[i:j])
                     doc = np.repeat(np.arange(j - i), n)
                     bad = np.bincount(doc, aligner.numbers[rows, 3], j - i) > 0
-                    times = _plus(times, np.bincount(rows[~bad[doc]], minlength=len(aligner.text)))
+                    times = _plus(times, np.bincount(rows[~bad[doc]], minlength=len(aligner.numbers)))
             settle()
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pair", "count"])
@@ -295,14 +329,14 @@ class Alignment:
         files, known = sc.broadcast(self.files), sc.broadcast((counts, counts == most[of_b]))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            aligner = _aligner(files.value)
+            aligner = _aligner(files.value, True)
             counts, best = known.value
             sums = np.zeros((0, 7), np.int64)  # numbers of each unit, then links, best links, sum of counts
 
             def of_units() -> np.ndarray:
                 nonlocal sums
-                if len(sums) != len(aligner.text):
-                    new = slice(len(sums), len(aligner.text))
+                if len(sums) != len(aligner.numbers):
+                    new = slice(len(sums), len(aligner.numbers))
                     at = aligner.at[new.start : new.stop + 1]
                     links = aligner.links[at[0] :]
                     of = [np.concatenate([[0], np.cumsum(x)]) for x in (np.ones(len(links), np.int64), best[links], counts[links])]
@@ -313,7 +347,7 @@ class Alignment:
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 for i, j in _groups(texts):
                     if aligner.full():
-                        aligner.clear()
+                        aligner.forget()
                         sums = np.zeros((0, 7), np.int64)
                     total, written = np.zeros((j - i, 7), np.int64), [[] for _ in range(j - i)]
                     for own, n in _rows(aligner, texts[i:j]):
