@@ -9,6 +9,10 @@ node are compared. With the roots alone, ``trees`` trees miss a pair of similari
 Documents with equal sets are one class. Sets of a large node are first joined to hubs, one for each of a few
 orders; nodes whose sets are all in one component need nothing more, and only sets of different components are
 compared in the nodes further down. Every candidate pair is verified on whole sets.
+
+Sets that share a long passage and little else stay together on all paths, since their likeness is what the paths
+sample. Classes that are in a large node of several components at the last level are few and are joined exactly, by
+the rare-first prefix join of operator 10, which such a passage, being frequent, doesn't bring together.
 """
 
 from __future__ import annotations
@@ -23,11 +27,11 @@ from pyspark.sql import functions as F
 
 from ._shared import components, materialize
 from ._words import Words, groups, mix, shingles, texts_of
-from .jaccard_join import CELLS, _lists, _sifted, _verify
+from .jaccard_join import CELLS, _linked, _lists, _sifted, _verify
 
 SMALL = 12  # classes of a node of which all pairs are made
 MISS = 1e-8  # how likely the roots of all trees part a pair that is just similar enough
-CHOICE, BRANCHES, DEPTH = 4, 2, 6  # minwise tokens a level has, those of them a node takes, levels below the roots
+CHOICE, BRANCHES, DEPTH = 4, 2, 3  # minwise tokens a level has, those of them a node takes, levels below the roots
 ORDERS = 3  # hubs of a large node's sets differ by tree, in so many orders
 
 #: By the hash alone, without frequencies: the verification's sets need some common order.
@@ -51,7 +55,7 @@ def minwise(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, n: int) -> DataFrame:
-    """(doc_id, n, cls, sig, cells): the set's size, class, minwise tokens and elements by ranges of hashes; sig and cells are empty without shingles."""
+    """(doc_id, t, n, cls, sig, cells): the text's hash, the set's size, class, minwise tokens and elements by ranges of hashes; sig and cells are empty without shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,9 +75,9 @@ def signatures(docs: DataFrame, width: int, n: int) -> DataFrame:
                 cells = np.minimum(127, np.bincount(d * CELLS + (h >> np.uint64(57)).astype(np.int64), minlength=(j - i) * CELLS)).astype(np.int8)
                 row = np.arange(j - i)
                 lists = [_lists(x.ravel(), row * w, np.where(size > 0, w, 0)) for x, w in ((sig, n), (cells, CELLS))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(cls), *lists], ["doc_id", "n", "cls", "sig", "cells"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(size, pa.int64()), pa.array(cls), *lists], ["doc_id", "t", "n", "cls", "sig", "cells"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, cls long, sig array<int>, cells array<tinyint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(rows, "doc_id long, t long, n long, cls long, sig array<int>, cells array<tinyint>")
 
 
 def _counted(members: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     trees = trees_for(at_least / of, miss)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(signatures(docs, width, trees + CHOICE * DEPTH))
-    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("cells").alias("cells")))
+    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "t")).alias("own"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("cells").alias("cells")))
     known = classes.where(F.col("rep").isNotNull())
     roots = known.select("cls", "n", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "token")).select("cls", "n", "tree", F.xxhash64("tree", "token").alias("node"))
     shared = materialize(_counted(roots))
@@ -133,11 +137,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     parts = components(edges)
 
     members = large.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    found = _descend(materialize(_apart(members)), classes, trees, at_least, of)
+    found, left = _descend(materialize(_apart(members)), classes, trees, at_least, of)
+    more = []
     if found is not None:
         rest = materialize(_sifted(found.join(first, ["a", "b"], "left_anti"), classes, of, at_least))
         if not rest.isEmpty():
-            parts = components(edges.union(materialize(_verify(docs, rest, classes, width, ranks, of, at_least))))
+            more.append(materialize(_verify(docs, rest, classes, width, ranks, of, at_least)))
+    if left is not None:
+        more.append(materialize(_exactly(docs, classes, left, width, similarity)))
+    for m in more:
+        edges = edges.union(m)
+    if more:
+        parts = components(edges)
 
     reps = classes.select("cls", "rep")
     joined = parts.withColumnRenamed("node", "cls").join(reps, "cls")
@@ -149,11 +160,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _descend(members: DataFrame, classes: DataFrame, trees: int, at_least: int, of: int) -> DataFrame | None:
-    """(a, b): pairs of different components that nodes below large ones bring together, None without any such node."""
+def _descend(members: DataFrame, classes: DataFrame, trees: int, at_least: int, of: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Pairs (a, b) of different components that small nodes below large ones bring together, and (cls) of those that are in large ones to the end."""
     if members.isEmpty():
-        return None
-    other, found = "x.comp <> y.comp", []
+        return None, None
+    found = None
     for level in range(DEPTH):
         own = classes.select("cls", F.slice("sig", trees + 1 + CHOICE * level, CHOICE).alias("s"))
         first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(CHOICE))
@@ -161,18 +172,18 @@ def _descend(members: DataFrame, classes: DataFrame, trees: int, at_least: int,
         child = F.explode(F.array(*(F.xxhash64("node", c, F.element_at("s", c)) for c in chosen)))
         dealt = _counted(members.join(own, "cls").select("cls", "n", "comp", child.alias("node")))
         dealt = materialize(_apart(dealt))
-        found.append(_pairs(dealt.where(F.col("c") <= SMALL), at_least, of, "node", other))
+        pairs = _pairs(dealt.where(F.col("c") <= SMALL), at_least, of, "node", "x.comp <> y.comp")
+        found = pairs if found is None else found.union(pairs)
         members = dealt.where(F.col("c") > SMALL).drop("c")
         if members.isEmpty():
-            break
-    else:
-        # Sets that are still many are compared too: in bands of size, as similar sets are in one band or in neighbouring ones.
-        band = F.floor(F.log("n") / max(1.0001 * math.log(of / at_least), 1e-6)).cast("long")
-        near = members.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-        x, y = near.alias("x"), members.withColumn("band", band).alias("y")
-        on = (F.col("x.node") == F.col("y.node")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") < F.col("y.cls")) & F.expr(other) & (of * F.col("x.n") >= at_least * F.col("y.n")) & (of * F.col("y.n") >= at_least * F.col("x.n"))
-        found.append(x.join(y, on).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.distinct()
+            return found.distinct(), None
+    return found.distinct(), materialize(members.select("cls").distinct())
+
+
+def _exactly(docs: DataFrame, classes: DataFrame, left: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) among the classes ``left``, each with the least class of its component, from the texts that stand for them."""
+    stand = materialize(classes.join(left, "cls", "left_semi").select("cls", F.col("own.doc_id").alias("id"), F.col("own.t").alias("t")))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    texts = keyed.join(stand, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("t")), "left_semi").select("doc_id", "text", F.col("h").alias("t"))
+    linked = _linked(materialize(texts.dropDuplicates(["doc_id", "t"])), width, similarity).select(F.col("doc_id").alias("id"), "t", "comp")
+    return linked.join(stand, ["id", "t"]).where("cls <> comp").select(F.col("cls").alias("a"), F.col("comp").alias("b"))

