@@ -166,12 +166,66 @@ def threshold(n: F.Column, steps: Steps) -> F.Column:
     return out
 
 
+LONG_LINE = 512  # bytes from which on pairs lose their common ends before they are compared
+
+
+def mismatch(a: np.ndarray, b: np.ndarray) -> int:
+    """Place of the first difference, the shorter length if there is none; reads on in parts that grow."""
+    n, at, size = min(len(a), len(b)), 0, 256
+    while at < n:
+        part = a[at : min(n, at + size)] != b[at : min(n, at + size)]
+        if part.any():
+            return at + int(part.argmax())
+        at, size = at + size, min(size * 4, 1 << 20)
+    return n
+
+
+def within(a: bytes, b: bytes, edits: int) -> int:
+    """Edit distance of two lines if it is at most ``edits``, else edits + 1: how far each diagonal reaches with each number of edits."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    reach = {0: mismatch(x, y)}
+    for e in range(edits + 1):
+        if e:
+            last, reach = reach, {}
+            for d in range(-e, e + 1):
+                i = max(last.get(d, -9) + 1, last.get(d - 1, -9), last.get(d + 1, -9) + 1)
+                if 0 <= i <= len(x) and 0 <= i + d <= len(y):
+                    reach[d] = i + mismatch(x[i:], y[i + d :])
+        if reach.get(len(y) - len(x), -1) >= len(x):
+            return e
+    return edits + 1
+
+
+def without_ends(a: bytes, b: bytes, keep: int) -> tuple[bytes, bytes]:
+    """Two lines less what both begin and end with, but for ``keep`` bytes before the first difference; their distance stays."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    start = max(0, mismatch(x, y) - keep)
+    x, y = x[start:], y[start:]
+    end = min(mismatch(x[::-1], y[::-1]), min(len(x), len(y)) - min(keep, len(x), len(y)))
+    return x[: len(x) - end].tobytes(), y[: len(y) - end].tobytes()
+
+
 def distances(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
     """Edit distance of each pair where it is at most ``edits``, else edits + 1: banded, bit-parallel, pairs side by side.
 
     The band's vertical differences are the top 2 * edits + 1 bits of a word; every step goes down the diagonal.
-    Both lines are longer than ``edits`` and differ in length by ``edits`` at most.
+    Both lines are longer than ``edits`` and differ in length by ``edits`` at most. Long lines first lose their
+    common ends; of those that are long still, few, edits lie far apart, which their diagonals tell in time that is
+    linear in vector steps.
     """
+    long = [i for i in range(len(a)) if max(len(a[i]), len(b[i])) >= LONG_LINE]
+    if long:
+        out = np.zeros(len(a), np.int64)
+        rest = [i for i in range(len(a)) if max(len(a[i]), len(b[i])) < LONG_LINE]
+        cut = {i: without_ends(a[i], b[i], edits + 1) for i in long}
+        for i in long:
+            if max(map(len, cut[i])) >= LONG_LINE:
+                out[i] = within(*cut[i], edits)
+            else:
+                rest.append(i)
+        if rest:
+            out[rest] = distances([cut[i][0] if i in cut else a[i] for i in rest], [cut[i][1] if i in cut else b[i] for i in rest], edits)
+        return out
     n = len(a)
     m, k = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     width = max(int(m.max()), int(k.max()))
@@ -274,6 +328,22 @@ def _verify(docs: DataFrame, pairs: DataFrame, steps: Steps) -> DataFrame:
     return materialize(both.select("a", "b", "la", "lb").mapInArrow(rows, "a long, b long"))
 
 
+def parity_parts(parity: F.Column, edits: int) -> F.Column:
+    """Array of parts of a parity of 64 bits, in which two that differ in 4 * edits bits at most agree somewhere.
+
+    One more part than bits may differ leaves one alike. At one edit two of six parts are, and a place of the array
+    is a pair of parts, with some 21 bits; else a place is one part.
+    """
+    if not edits:
+        return F.array(parity)
+    n = 6 if edits == 1 else 4 * edits + 1
+    bounds = [64 * k // n for k in range(n + 1)]
+    part = lambda k: F.shiftrightunsigned(parity, bounds[k]).bitwiseAND((1 << (bounds[k + 1] - bounds[k])) - 1)
+    if edits != 1:
+        return F.array(*map(part, range(n)))
+    return F.array(*(F.xxhash64(part(i), part(j)) for i in range(n) for j in range(i + 1, n)))
+
+
 def line_classes(docs: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
     """(lines, repeated): every line's (doc_id, t, number, h), and (h, first) of the line hashes that occur again.
 
@@ -314,6 +384,9 @@ def line_classes(docs: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
     open_keys = asks.select("k", "comp").union(holds.select("k", "comp")).groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
     open_keys = materialize(open_keys)
     asks, holds = (d.join(open_keys, "k", "left_semi") for d in (asks, holds))
+    # Lines within the edits differ in few bits of their parity, so they agree in some of its parts: those split a segment of many lines.
+    parts_of = parity_parts(F.col("parity"), max(e for _, e in steps))
+    asks, holds = (d.withColumn("k", F.explode(F.transform(parts_of, lambda p, i: F.xxhash64("k", i, p)))) for d in (asks, holds))
     rest = materialize(pairs(asks, holds, F.col("x.comp") != F.col("y.comp")).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         parts = components(edges.union(_verify(docs, rest, steps)))
@@ -341,7 +414,7 @@ def dropped_lines(docs: DataFrame, edits: int | Steps = EDITS, long: int = LONG)
     Lines part at \\n and are compared without ASCII white space at their ends; blank lines always stay. Lines of
     ``long`` bytes or more that are within ``edits`` byte edits, and lines that are equal, are one class, and so are
     lines that such links reach; the first line of a class by (doc_id, xxhash64 of the text, number) stays. Null
-    and empty texts have no line to lose (null: 0 lines). A null doc_id comes first. Rows equal in id and text are
+    and empty texts have no line to lose (null: 0 lines). Texts and lines are read whole, however long. A null doc_id comes first. Rows equal in id and text are
     one document. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -361,8 +434,10 @@ def dedup_lines(docs: DataFrame, edits: int | Steps = EDITS, long: int = LONG) -
     gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), edits, long)
     gone = materialize(gone.select(F.col("doc_id").alias(ident), F.col("t").alias(key), F.col("dropped").alias(dropped)))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(ident)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
-    lines = F.split(docs["text"], "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(dropped, i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
+    # The lines are bound once, and those that stay are told by a set, so the work is linear in a text's lines.
+    numbers = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1).cast("array<long>"), F.col(dropped))
+    joined_lines = lambda lines: F.array_join(F.transform(numbers(lines), lambda i: F.get(lines, i.cast("int"))), "\n")
+    kept = F.get(F.transform(F.array(F.split(docs["text"], "\n", -1)), joined_lines), 0)
     text = F.when(F.col(dropped).isNull(), docs["text"]).otherwise(kept)
     columns = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]
     out = joined.select(*columns, F.col(dropped).isNotNull().alias(cut))

@@ -127,3 +127,66 @@ def test_edits_by_length_equal_brute_force(spark):
     rows += [(100 + d, f"{d % 7}\n{'x' * (d % 4)}{d % 3}") for d in range(20)]  # short lines with one edit between them stay apart
     got = {x.doc_id: list(x.dropped) for x in ld.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string"), ld.BY_LENGTH).collect()}
     assert got == brute(rows, ld.BY_LENGTH)
+
+
+def test_long_lines_equal_plain_distance():
+    r = random.Random(12)
+    a, b = [], []
+    for _ in range(120):
+        x = bytes(r.choice(b"abc ") for _ in range(r.choice([60, 520, 700])))
+        y = bytearray(x)
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(y))
+            kind = r.randrange(3)
+            if kind == 0:
+                y[at] = r.choice(b"abcx")
+            elif kind == 1:
+                del y[at]
+            else:
+                y.insert(at, r.choice(b"abcx"))
+        a.append(x)
+        b.append(bytes(y))
+    for edits in (1, 2, 3):
+        near = [i for i in range(len(a)) if abs(len(a[i]) - len(b[i])) <= edits]
+        got = ld.distances([a[i] for i in near], [b[i] for i in near], edits)
+        assert got.tolist() == [min(edits + 1, levenshtein(a[i], b[i])) for i in near]
+        assert [ld.within(a[i], b[i], edits) for i in near] == got.tolist()
+
+
+def test_very_long_lines_take_little_time():
+    import time
+
+    x = bytes(random.Random(1).randbytes(10_000_000)).replace(b"\n", b" ")
+    y, z = x[:5_000_000] + b"!" + x[5_000_000:], b"#" + x[1:-1] + b"#"
+    began = time.perf_counter()
+    assert ld.distances([x, x, x], [y, z, x[:-1] + b"?"], 1).tolist() == [1, 2, 1]
+    assert ld.distances([x, x], [y, z], 2).tolist() == [1, 2]
+    assert time.perf_counter() - began < 5
+
+
+def test_parity_parts_agree_within_the_edits(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    rows = []
+    for e in (1, 2, 3):
+        for _ in range(150):
+            p = r.getrandbits(64)
+            q = p
+            for bit in r.sample(range(64), 4 * e):
+                q ^= 1 << bit
+            rows.append((e, p - (1 << 64) if p >> 63 else p, q - (1 << 64) if q >> 63 else q))
+    frame = spark.createDataFrame(rows, "e int, p long, q long")
+    for e in (1, 2, 3):
+        agree = F.exists(F.zip_with(ld.parity_parts(F.col("p"), e), ld.parity_parts(F.col("q"), e), lambda x, y: x == y), lambda x: x)
+        assert frame.where(F.col("e") == e).where(~agree).count() == 0
+
+
+def test_texts_of_many_lines_are_joined_in_linear_time(spark):
+    import time
+
+    rows = [(1, "\n".join(f"line number {k // 2} of the long text" for k in range(40_000)))]
+    began = time.perf_counter()
+    got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 0, 10).first()
+    assert got.text == "\n".join(f"line number {k} of the long text" for k in range(20_000))
+    assert time.perf_counter() - began < 60
