@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import bit_sieve, materialize
@@ -138,6 +138,19 @@ def _shared_runs(docs: DataFrame, marks, widths: list[int]) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(rows, "t long, runs array<long>, seeds array<long>")
 
 
+def _rare(seeds: DataFrame, held: DataFrame, coverage: float) -> DataFrame:
+    """(h, item): the rarest seeds of each item, of which a text that tiles enough of it has one.
+
+    Tiles of ``coverage`` need a number of the item's seeds; the most frequent ones that together are fewer than that
+    are left out, so that a phrase of many texts and many items doesn't bring all of these together.
+    """
+    often = held.groupBy("h").agg(F.count("*").alias("df"))
+    each = seeds.groupBy("item", "h").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("width").alias("width"))
+    ranked = each.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    upto = F.sum("m").over(Window.partitionBy("item").orderBy(F.desc("df"), "h"))
+    return ranked.withColumn("upto", upto).where(F.col("upto") * F.col("width") >= coverage * F.col("n")).select("h", "item")
+
+
 def tilings(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """(t, item_id, n_words, coverage, tiles): texts, by their xxhash64 ``t``, and items of which they tile enough."""
     spark = docs.sparkSession
@@ -147,9 +160,12 @@ def tilings(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
     marks = spark.sparkContext.broadcast(bit_sieve(seeds))
     texts = materialize(_shared_runs(docs, marks, widths)).groupBy("t").agg(F.first("runs").alias("runs"), F.first("seeds").alias("seeds"))
     texts = materialize(texts)
-    hits = texts.select("t", F.explode("seeds").alias("h")).join(seeds, "h").groupBy("t", "item").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("width").alias("width"))
-    pairs = hits.where(F.col("c") * F.col("width") >= coverage * F.col("n")).select("t", "item")
-    both = pairs.join(items.select("item", "item_id", "n", "width", "words"), "item").join(texts.select("t", "runs"), "t")
+    held = texts.select("t", F.explode("seeds").alias("h"))
+    hits = held.join(_rare(seeds, held, coverage), "h").select("t", "item").distinct()
+    # How many of an item's seeds a text has, those that the item repeats counted as all there.
+    shared = F.size(F.array_intersect("seeds", "own")) + F.size("seeds") - F.size(F.array_distinct("seeds"))
+    both = hits.join(items.select("item", "item_id", "n", "width", "words", "seeds"), "item").join(texts.select("t", "runs", F.col("seeds").alias("own")), "t")
+    both = both.where(shared * F.col("width") >= coverage * F.col("n"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +184,8 @@ def tilings(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """Rows (doc_id, item_id, n_words, coverage, tiles): each document and each item of which its tiles cover ``coverage`` or more.
 
-    Items of fewer than ``least`` words must be found as they are; items without words match nothing, and items of
+    Of equally long matches the one earliest in the item and then in the document is marked first. Texts are read
+    whole, however long; what leaves a task are the words inside seeds. Items of fewer than ``least`` words must be found as they are; items without words match nothing, and items of
     equal text are one with the least id. Null and empty texts hold nothing. Rows that repeat are reported each,
     null ids included. Columns other than doc_id and text, item_id and text are not read. Without documents or
     items there are no rows.
