@@ -77,6 +77,48 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
+#: Paragraphs of licence texts.
+BODIES = (
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("Apache-2.0", "Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work"),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("MPL-2.0", "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions"),
+    ("EPL-2.0", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."),
+    ("CC-BY-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")."),
+    ("CC-BY-SA-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")."),
+    ("CC0-1.0", "Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights and associated claims and causes of action"),
+)
+
+#: Licences by their identifiers, with the names that people write.
+NAMES = (
+    ("MIT", ("MIT",)), ("Apache-2.0", ("Apache 2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache-2")), ("GPL-2.0", ("GPLv2", "GPL 2.0", "GNU GPL v2", "GNU General Public License v2.0")),
+    ("GPL-3.0", ("GPLv3", "GPL 3.0", "GNU GPL v3", "GNU General Public License v3.0")), ("LGPL-2.1", ("LGPLv2.1", "LGPL 2.1", "GNU LGPL v2.1")), ("LGPL-3.0", ("LGPLv3", "LGPL 3.0", "GNU LGPL v3")), ("AGPL-3.0", ("AGPLv3", "AGPL 3.0", "GNU AGPL v3")),
+    ("BSD-2-Clause", ("BSD 2-Clause", "Simplified BSD")), ("BSD-3-Clause", ("BSD 3-Clause", "New BSD", "Modified BSD")), ("MPL-2.0", ("MPL 2.0", "Mozilla Public License 2.0")), ("ISC", ("ISC",)), ("Zlib", ("zlib",)), ("BSL-1.0", ("Boost Software License 1.0",)),
+    ("EPL-1.0", ("EPL 1.0", "Eclipse Public License 1.0")), ("EPL-2.0", ("EPL 2.0", "Eclipse Public License 2.0")), ("CC0-1.0", ("CC0 1.0", "CC0 1.0 Universal")), ("CC-BY-4.0", ("CC BY 4.0",)), ("CC-BY-SA-4.0", ("CC BY-SA 4.0",)), ("CC-BY-NC-4.0", ("CC BY-NC 4.0",)),
+    ("CC-BY-ND-4.0", ("CC BY-ND 4.0",)), ("CC-BY-NC-SA-4.0", ("CC BY-NC-SA 4.0",)), ("CC-BY-NC-ND-4.0", ("CC BY-NC-ND 4.0",)), ("0BSD", ("0BSD", "Zero-Clause BSD")), ("Unlicense", ("Unlicense",)), ("WTFPL", ("WTFPL",)), ("Artistic-2.0", ("Artistic License 2.0",)),
+)
+#: How a licence is named in a sentence; a name may end with the word itself.
+FORMS = ("licensed under {}", "licensed under the {}", "licensed under the {} license", "released under the {} license", "distributed under the {} license", "available under the {} license", "is under the {} license", "this project is {} licensed", "published under {}", "covered by the {} license")
+
+
+def named(names: tuple[tuple[str, tuple[str, ...]], ...] = NAMES) -> tuple[tuple[str, str], ...]:
+    """Templates of the tags and sentences that name a licence; tags of the identifiers with and without their suffixes too."""
+    out = []
+    for ident, written in names:
+        out += [(ident, f"SPDX-License-Identifier: {ident}{suffix}") for suffix in ("", "-only", "-or-later")[: 3 if "GPL" in ident else 1]]
+        out += [(ident, f"License: {x}") for x in (ident, *written)]
+        for x in (ident, *written):
+            out += [(ident, f.format(x)) for f in FORMS if not ("license" in x.lower() and f.endswith("license"))]
+    return tuple({(ident, text.lower()): None for ident, text in out})
+
+
+#: Notices, paragraphs, tags and sentences, some hundreds.
+EVERY = TEMPLATES + BODIES + named()
+
 
 def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the word bigrams, in order."""
@@ -87,13 +129,36 @@ def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Templates:
-    """Templates as bags of bigrams; ``holds[i, t]`` says whether template t has the bigram ``keys[i]``."""
+    """Templates as bags of bigrams; ``holds[i, t]`` says whether template t has the bigram ``keys[i]``.
+
+    ``rare[i]`` are the templates of which that is one of the bigrams least shared by other templates, so many of
+    them that a window like enough has one: what many templates say, such as "under the", makes none a candidate.
+    """
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
+    def __init__(self, templates: tuple[tuple[str, str], ...], least: float = LEAST):
         bags = [(name, bigrams([text.encode()])[1]) for name, text in templates]
         self.bags = [(name, Counter(h.tolist())) for name, h in bags if len(h)]
         self.keys = np.unique(np.concatenate([h for _, h in bags])) if self.bags else np.zeros(0, np.uint64)
         self.holds = np.array([np.isin(self.keys, np.array(list(bag), np.uint64)) for _, bag in self.bags]).T if self.bags else np.zeros((0, 0), bool)
+        size = np.array([bag.total() for _, bag in self.bags], np.int64)
+        self.bounds = np.ceil(least * size / (2 - least) - 1e-9).astype(np.int64)
+        of: list[list[int]] = [[] for _ in self.keys]
+        often = self.holds.sum(axis=1)
+        for t, (_, bag) in enumerate(self.bags):
+            spare = int(size[t] - self.bounds[t])  # bigrams that a window like enough may lack
+            own = np.flatnonzero(self.holds[:, t])
+            for k in own[np.argsort(often[own], kind="stable")]:
+                of[k].append(t)
+                spare -= bag[int(self.keys[k])]
+                if spare < 0:
+                    break
+        self.rare = [np.array(x, np.int64) for x in of]
+        self.tells = np.array([len(x) > 0 for x in of], bool)
+
+    def candidates(self, row: np.ndarray) -> np.ndarray:
+        """Templates that a text with these bigrams can hold."""
+        told = np.unique(row[self.tells[row]])
+        return np.unique(np.concatenate([self.rare[k] for k in told])) if len(told) else np.zeros(0, np.int64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``h`` of bigrams of any template, and their rows in ``holds``."""
@@ -107,13 +172,11 @@ class Templates:
 def alike(h: np.ndarray, templates: Templates, at: np.ndarray, row: np.ndarray, least: float) -> list[tuple[float, int, int, str]]:
     """(dice, first bigram, bigrams, licence) of all windows of ``least`` or more. at, row: what ``find`` gives of ``h``."""
     found = []
-    shares = templates.holds[row].sum(axis=0)
-    for t in np.flatnonzero(shares):
+    some = templates.candidates(row)
+    shares = templates.holds[np.ix_(row, some)].sum(axis=0)
+    for t in some[(shares >= templates.bounds[some]) & (len(h) >= templates.bounds[some])]:
         name, bag = templates.bags[t]
-        size = bag.total()
-        bound = int(np.ceil(least * size / (2 - least) - 1e-9))
-        if len(h) < bound or shares[t] < bound:
-            continue
+        size, bound = bag.total(), int(templates.bounds[t])
         own = at[templates.holds[row, t]]
         width = min(size, len(h))
         starts = np.unique(np.minimum(own, len(h) - width))
@@ -143,10 +206,10 @@ def best_windows(windows: list[tuple[float, int, int, str]], n: int) -> dict[str
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """Rows (doc_id, licence, dice, first_word, n_words): for each document and licence found the best window that no closer licence's overlaps.
 
-    Words count from 0. Null and empty texts, and templates of one word, match nothing. Repeated rows are reported
+    Words count from 0; texts are read whole, however long. Null and empty texts, and templates of one word, match nothing. Repeated rows are reported
     each, null ids included. Columns other than doc_id and text are not read; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Templates(templates))  # as large as the templates
+    sent = docs.sparkSession.sparkContext.broadcast(Templates(templates, least))  # as large as the templates
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = sent.value

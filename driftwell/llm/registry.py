@@ -25,7 +25,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir))
+    return licenses.scan(documents(spark, sf_dir), licenses.EVERY)
 
 
 PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # unless spark.driftwell.pieces names another file
