@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -57,4 +58,6 @@ def has_key(x: Column, forbidden: set[str]) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(found)
 
-    return run(x)
+    # Only values that hold a key's name somewhere are parsed.
+    names = "(?i)" + "|".join(re.escape(k) for k in sorted(keys)) if keys else "$^"
+    return run(F.when(x.rlike(names) | F.contains(x, F.lit("\\")), x))

@@ -16,17 +16,25 @@ def effective(df: DataFrame, key: str, seq: str, undoes: str) -> DataFrame:
     each key is one ordered scan.
     """
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq, ascending=False, kind="stable")
-        gone, keep = set(), []
-        for s, target in zip(rows[seq], rows[undoes], strict=True):
-            stands = s not in gone
-            if stands and pd.notna(target):
-                gone.add(int(target))
-            keep.append(stands and pd.isna(target))
-        return rows[keep]
-
-    return df.groupBy(key).applyInPandas(scan, df.schema)
+    types = dict(df.dtypes)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, gone = object(), set()
+        for b in batches:
+            keep = []
+            for k, s, target in zip(b[key], b[seq], b[undoes], strict=True):
+                if k != at:
+                    at, gone = k, set()
+                stands = s not in gone
+                if stands and pd.notna(target):
+                    gone.add(int(target))
+                keep.append(stands and pd.isna(target))
+            yield b[keep]
+
+    if types[seq] not in ("int", "bigint", "smallint", "tinyint"):
+        raise ValueError(f"{seq} must be a whole number")
+    rows = df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, F.desc(seq))
+    return rows.mapInPandas(scan, df.schema)
 
 
 def chain_faults(df: DataFrame, key: str, seq: str, own: str, before: str) -> DataFrame:

@@ -290,10 +290,10 @@ def review_sample(spark, d):
     return table(spark, d, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("1701:"), F.col("doc_id").cast("string"))), "doc_id").limit(40)
 
 
-@query("SELECT sha256(lang || '|' || substring(text, 1, 20)) AS unit, count(*) AS refs, array_to_string(list_sort(list(doc_id))[1:5], ',') AS first_refs FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(lang || '|' || split_part(text, chr(10), 1)) AS unit, count(*) AS refs, array_to_string(list_sort(list(doc_id))[1:5], ',') AS first_refs FROM documents GROUP BY 1 HAVING count(*) > 1")
 def evidence_index(spark, d):
-    """References of each canonical unit, the first five listed."""
-    unit = F.sha2(F.concat_ws("|", "lang", F.substring("text", 1, 20)), 256).alias("unit")
+    """References of each canonical unit, a first line in its language, the first five listed."""
+    unit = F.sha2(F.concat_ws("|", "lang", F.split_part("text", F.lit("\n"), F.lit(1))), 256).alias("unit")
     rows = table(spark, d, "documents").select(unit, "doc_id")
     r = F.row_number().over(Window.partitionBy("unit").orderBy("doc_id"))
     first = rows.withColumn("r", r).where("r <= 5").groupBy("unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("first_refs"))

@@ -87,8 +87,8 @@ def session_views(spark, d):
 def question_answers(spark, d):
     """Users' turns with the next answer: the first assistant's turn after them, carried backwards."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
-    later = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("role") == "assistant", F.col("n")), ignorenulls=True).over(later)
+    later = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)  # a running value, not a frame for each row
+    nxt = F.last(F.when(F.col("role") == "assistant", F.col("n")), ignorenulls=True).over(later)
     return rows.withColumn("answered", nxt).where("role = 'user' AND answered IS NOT NULL").select("conv_id", "turn", F.col("n").alias("asked"), "answered")
 
 

@@ -254,7 +254,10 @@ def incremental_agg(spark, d):
     """The same counts through a file stream that goes on where it stopped; a batch that comes again replaces its part."""
     source = table(spark, d, "events")
     rows = feeds.read(spark, f"{d}/events.parquet*", source.schema)
-    name = f"incremental_agg/{sha256(d.encode()).hexdigest()[:16]}"
+    # The state belongs to the table whose first file this is: one written anew under the same path starts afresh.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{d}/events.parquet*")
+    first = files.select("path", "length", F.col("modificationTime").cast("string").alias("at")).orderBy("path").first()
+    name = f"incremental_agg/{sha256('|'.join([d, *map(str, first or ())]).encode()).hexdigest()[:16]}"
     parts = f"{shared_folder(spark)}/streams/{name}/parts"
     schema = source.limit(0).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).schema
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import dedup, graph
+from ..operators import dedup, graph, ledger
 from ..runtime import materialize
 from ..sources.tables import table
 from .catalogue import Catalogue
@@ -45,21 +45,26 @@ def episode_views(spark, d):
 @query("""WITH m AS (SELECT c.conv_id, s.turn AS marker, c.turn, c.turn < s.turn AS compacted, c.turn > s.turn OR (c.turn = s.turn - 1 AND s.turn % 2 = 0) AS retained FROM conversations c JOIN conversations s ON c.conv_id = s.conv_id AND s.role = 'system')
 SELECT conv_id, marker, count(*) FILTER (compacted) AS compacted, count(*) FILTER (retained) AS retained, count(*) FILTER (compacted AND retained) AS overlap, count(*) FILTER (compacted AND retained) > 0 AS contradiction FROM m GROUP BY 1, 2""")
 def compaction_windows(spark, d):
-    """At each marker the turns that went into a summary and those kept; a turn in both contradicts."""
-    t = _turns(spark, d).select("conv_id", "turn", "role")
-    m = t.select("conv_id", "turn").join(t.where("role = 'system'").select("conv_id", F.col("turn").alias("marker")), "conv_id")
-    gone, kept = F.col("turn") < F.col("marker"), (F.col("turn") > F.col("marker")) | ((F.col("turn") == F.col("marker") - 1) & (F.col("marker") % 2 == 0))
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    by = m.groupBy("conv_id", "marker").agg(n(gone).alias("compacted"), n(kept).alias("retained"), n(gone & kept).alias("overlap"))
-    return by.withColumn("contradiction", F.col("overlap") > 0)
+    """At each marker the turns that went into a summary and those kept; a turn in both contradicts.
+
+    Turns before a marker are counted by a running sum, so the work is linear in a conversation.
+    """
+    rows = _turns(spark, d).groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.sum((F.col("role") == "system").cast("int")).alias("m"))
+    by, order = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("turn")
+    below = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.when((F.lag("turn").over(order) == F.col("turn") - 1) & (F.col("turn") % 2 == 0), F.lag("n").over(order)).otherwise(0)
+    at = rows.select("conv_id", F.col("turn").alias("marker"), "m", "n", below.alias("below"), before.alias("overlap"), F.sum("n").over(by).alias("total")).where("m > 0")
+    kept = F.col("total") - F.col("below") - F.col("n") + F.col("overlap")
+    times = lambda c: (c * F.col("m")).cast("long")
+    return at.select("conv_id", "marker", times(F.col("below")).alias("compacted"), times(kept).alias("retained"), times(F.col("overlap")).alias("overlap"), (F.col("overlap") > 0).alias("contradiction"))
 
 
-CROSS = """WITH RECURSIVE k AS (SELECT DISTINCT conv_id, substring(lower(text), 1, 6) AS k FROM conversations WHERE role = 'user' AND turn = 0), u AS MATERIALIZED (SELECT DISTINCT a.conv_id AS x, b.conv_id AS y FROM k a JOIN k b USING (k)), r AS (SELECT x AS node, x AS seen FROM u UNION SELECT node, y FROM r JOIN u ON seen = x), c AS (SELECT node AS conv_id, min(seen) AS family FROM r GROUP BY 1) """
+CROSS = """WITH RECURSIVE k AS (SELECT DISTINCT conv_id, lower(split_part(text, ' ', 1)) AS k FROM conversations WHERE role = 'user' AND turn = 0), u AS MATERIALIZED (SELECT DISTINCT a.conv_id AS x, b.conv_id AS y FROM k a JOIN k b USING (k)), r AS (SELECT x AS node, x AS seen FROM u UNION SELECT node, y FROM r JOIN u ON seen = x), c AS (SELECT node AS conv_id, min(seen) AS family FROM r GROUP BY 1) """
 
 
 def _families(spark, d):
     """(conv_id, family): conversations that begin alike, linked through their common beginnings instead of in pairs."""
-    key = F.substring(F.lower("text"), 1, 6)
+    key = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
     k = _turns(spark, d).where("role = 'user' AND turn = 0").select("conv_id", key.alias("k")).distinct()
     hub = k.groupBy("k").agg(F.min("conv_id").alias("hub"))
     parts = graph.components(k.join(hub, "k").select(F.col("conv_id").alias("src"), F.col("hub").alias("dst")))
@@ -71,12 +76,14 @@ def cross_session_views(spark, d):
     return _families(spark, d).groupBy("family").agg(F.count("*").alias("conversations"), F.max("conv_id").alias("newest"))
 
 
-@query("SELECT sha256(lower(split_part(text, ' ', 1))) AS topic, count(DISTINCT conv_id) AS members, sha256(array_to_string(list_sort(list(DISTINCT conv_id)), ',')) AS member_digest, count(*) AS anchors FROM conversations WHERE role = 'user' GROUP BY 1")
+MEMBERS = "sum(('0x' || substring(md5(conv_id::VARCHAR), {0}, 15))::BIGINT::HUGEINT)::VARCHAR"
+
+
+@query(f"""WITH x AS (SELECT sha256(lower(split_part(text, ' ', 1))) AS topic, conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1, 2) SELECT topic, count(*) AS members, {MEMBERS.format(1)} || '-' || {MEMBERS.format(16)} AS member_digest, sum(n)::BIGINT AS anchors FROM x GROUP BY 1""")
 def topic_registry(spark, d):
-    """Topics by the hash of what a question begins with; members of all anchors of one key are one set."""
-    rows = _turns(spark, d).where("role = 'user'").select(F.sha2(F.lower(F.split_part("text", F.lit(" "), F.lit(1))), 256).alias("topic"), "conv_id")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_set("conv_id")), lambda x: x.cast("string")), ",")
-    return rows.groupBy("topic").agg(F.countDistinct("conv_id").alias("members"), F.sha2(ids, 256).alias("member_digest"), F.count("*").alias("anchors"))
+    """Topics by the hash of the word a question begins with; a topic's members are known by a digest that partitions add up."""
+    rows = _turns(spark, d).where("role = 'user'").groupBy(F.sha2(F.lower(F.split_part("text", F.lit(" "), F.lit(1))), 256).alias("topic"), "conv_id").agg(F.count("*").alias("n"))
+    return rows.groupBy("topic").agg(F.count("*").alias("members"), ledger.hash_sum(F.col("conv_id")).alias("member_digest"), F.sum("n").alias("anchors"))
 
 
 @query("SELECT conv_id, 'view_' || substring(sha256(string_agg(turn || ':' || sha256(text), '|' ORDER BY turn)), 1, 24) AS view_id, bool_and(length(text) < 2000) AS faithful FROM conversations GROUP BY 1")
@@ -151,19 +158,26 @@ def node_by_subject(spark, d):
 # --- joins
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, c_mktsegment AS kind, round(c_acctbal / 100)::BIGINT AS tok, c_nationkey AS ref FROM customer WHERE c_custkey % 3 = 0), p AS (SELECT a.id AS a, b.id AS b, (a.kind = b.kind AND a.ref = b.ref)::INT AS s1, (a.tok = b.tok)::INT AS s2, (a.ref = b.ref AND a.tok % 10 = b.tok % 10)::INT AS s3 FROM c a JOIN c b ON a.id < b.id)
-SELECT a, b, (s1 + s2 + s3)::BIGINT AS signals FROM p WHERE s1 + s2 + s3 > 0""")
+@query("""WITH c AS (SELECT c_custkey AS id, c_mktsegment AS kind, round(c_acctbal / 100)::BIGINT AS tok, c_nationkey AS ref FROM customer), h AS (SELECT id, kind, tok, ref, unnest([min(id) OVER (PARTITION BY kind, ref), min(id) OVER (PARTITION BY tok), min(id) OVER (PARTITION BY ref, tok % 10)]) AS hub FROM c)
+SELECT DISTINCT h.id, hub, ((h.kind = c.kind AND h.ref = c.ref)::INT + (h.tok = c.tok)::INT + (h.ref = c.ref AND h.tok % 10 = c.tok % 10)::INT)::BIGINT AS signals FROM h JOIN c ON c.id = hub WHERE h.id <> hub""")
 def signal_pairs(spark, d):
-    """Pairs that share one of three signals: one equi join for each, and how many of them agree."""
-    c = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.round(F.col("c_acctbal") / 100).cast("long").alias("tok"), F.col("c_nationkey").alias("ref"))
+    """Customers that share one of three signals, each with the first customer of each of its groups and how many signals those two share.
+
+    A group of any size gives a row for each member, not its pairs.
+    """
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.round(F.col("c_acctbal") / 100).cast("long").alias("tok"), F.col("c_nationkey").alias("ref"))
     keys = [F.struct("kind", "ref"), F.struct("tok"), F.struct("ref", (F.col("tok") % 10).alias("t"))]
-    out = None
+    hubs = None
     for k in keys:
         s = c.select("id", k.alias("k"))
-        x, y = s.alias("x"), s.alias("y")
-        found = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        out = found if out is None else out.union(found)
-    return out.groupBy("a", "b").agg(F.count("*").alias("signals"))
+        found = s.join(s.groupBy("k").agg(F.min("id").alias("hub")), "k").where("id <> hub").select("id", "hub")
+        hubs = found if hubs is None else hubs.union(found)
+    x, y = c.alias("x"), c.alias("y")
+    both = hubs.distinct().alias("h").join(x, F.col("h.id") == F.col("x.id")).join(y, F.col("h.hub") == F.col("y.id"))
+    same = lambda n: F.col(f"x.{n}") == F.col(f"y.{n}")
+    one = lambda cond: cond.cast("long")
+    signals = one(same("kind") & same("ref")) + one(same("tok")) + one(same("ref") & (F.col("x.tok") % 10 == F.col("y.tok") % 10))
+    return both.select(F.col("h.id").alias("id"), F.col("h.hub").alias("hub"), signals.alias("signals"))
 
 
 @query("""WITH s AS (SELECT DISTINCT split_part(p_type, ' ', -1) AS subject FROM part), n AS (SELECT p_partkey, p_type, lower(p_brand) || ':' || split_part(p_type, ' ', -1) AS name FROM part WHERE p_partkey % 2 = 0)
@@ -178,14 +192,14 @@ def suffix_join(spark, d):
     return keyed.join(s, "subject").select("p_partkey", "subject", F.when(F.col("name") == F.col("subject"), "equal").otherwise("suffix").alias("how"))
 
 
-@query(r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(replace('raw\' || regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '\', '/'), '^(Agent/)?raw/', ''), '/+$', '') AS path FROM pages) SELECT a.page_id AS a, b.page_id AS b FROM n a JOIN n b ON a.path = b.path AND a.page_id < b.page_id AND a.path <> ''""")
+@query(r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(replace('raw\' || regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '\', '/'), '^(Agent/)?raw/', ''), '/+$', '') AS path FROM pages) SELECT * FROM (SELECT page_id, min(page_id) OVER (PARTITION BY path) AS first, count(*) OVER (PARTITION BY path) AS pages FROM n WHERE path <> '') WHERE pages > 1""")
 def path_join(spark, d):
-    """Addresses of one path, written with either slash and with or without a store's prefix."""
+    """Pages of one path, written with either slash and with or without a store's prefix: the path's first page and how many it has."""
     raw = F.concat(F.lit("raw\\"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*/?([^?#]*)", 1))
     path = F.regexp_replace(F.regexp_replace(F.replace(raw, F.lit("\\"), F.lit("/")), "^(Agent/)?raw/", ""), "/+$", "")
     n = table(spark, d, "pages").select("page_id", path.alias("path")).where("path <> ''")
-    x, y = n.alias("x"), n.alias("y")
-    return x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.page_id") < F.col("y.page_id"))).select(F.col("x.page_id").alias("a"), F.col("y.page_id").alias("b"))
+    by = n.groupBy("path").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1")
+    return n.join(by, "path").select("page_id", "first", "pages")
 
 
 @query("""WITH u AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}'))) AS entity FROM conversations), x AS (SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}'))) AS n FROM conversations)
