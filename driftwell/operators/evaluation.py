@@ -97,3 +97,47 @@ def labelled_gate(found: DataFrame, pairs: DataFrame, ident: str, cluster: str,
     recall = F.when(F.col("_p") > 0, F.round(F.col("merged") / F.col("_p"), 6))
     verdict = F.when(F.col("false_merges") > 0, "failed").when(F.col("_p") == 0, "not_applicable").when(recall < least, "failed").otherwise("passed")
     return by.select("resolved", "unresolved", "merged", recall.alias("recall"), "false_merges", verdict.alias("verdict"))
+
+
+def retrieval_sets(results: DataFrame, samples: DataFrame, k: int) -> DataFrame:
+    """(mode, queries, exact_queries, exact_hit_rate, exact_mrr, source_hit_rate, preferred_top1) of results (mode, query_id, rank, item, source, collection).
+
+    samples: (query_id, items, source, collection), what each query should find: any of the items, something of the
+    source, and the collection first. A query counts for a rate only if its sample asks for that; one without
+    results is a miss in every mode.
+    """
+    asked = samples.select("query_id", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("source").alias("_source"), F.col("collection").alias("_collection"))
+    modes = results.select("mode").distinct()
+    rows = results.where(F.col("rank") <= k).join(asked, "query_id")
+    exact, same = F.array_contains("items", F.col("item").cast("string")), F.col("source") == F.col("_source")
+    hit = rows.groupBy("mode", "query_id").agg(F.min(F.when(exact, F.col("rank"))).alias("first"), F.max(F.coalesce(same, F.lit(False)).cast("int")).alias("sourced"), F.max(F.coalesce((F.col("rank") == 1) & (F.col("collection") == F.col("_collection")), F.lit(False)).cast("int")).alias("top"))
+    every = asked.crossJoin(F.broadcast(modes)).join(hit, ["mode", "query_id"], "left")  # modes are a handful of names
+    wants, sourced, prefers = F.size("items") > 0, F.col("_source").isNotNull(), F.col("_collection").isNotNull()
+    mean = lambda when, value: F.round(F.avg(F.when(when, F.coalesce(value, F.lit(0.0)))), 6)
+    return every.groupBy("mode").agg(
+        F.count("*").alias("queries"), F.sum(wants.cast("int")).alias("exact_queries"), mean(wants, F.col("first").isNotNull().cast("double")).alias("exact_hit_rate"), mean(wants, 1.0 / F.col("first")).alias("exact_mrr"),
+        mean(sourced, F.col("sourced").cast("double")).alias("source_hit_rate"), mean(prefers, F.col("top").cast("double")).alias("preferred_top1"),
+    )
+
+
+def calibration(human: DataFrame, judge: DataFrame, ident: str, label: str, least: int = 20, agreement: float = 0.8, chance: float = 0.6) -> DataFrame:
+    """(pairs, agreement, expected, kappa, only_human, only_judge, verdict) of a judge's labels beside people's.
+
+    Labels of any number of kinds; rows with a null label are unanswered and count to the side that answered alone.
+    The judge may stand in for people (usable) with ``least`` pairs, that agreement, and that kappa; else it is weak,
+    or unmeasured if there are too few pairs. Kappa is null where chance alone explains everything.
+    """
+    h, j = (d.where(F.col(label).isNotNull()).select(ident, F.col(label).cast("string").alias(c)) for d, c in ((human, "h"), (judge, "j")))
+    cells = h.join(j, ident, "full_outer").groupBy("h", "j").agg(F.count("*").alias("n"))
+    both = cells.where("h IS NOT NULL AND j IS NOT NULL")
+    side = lambda c: both.groupBy(F.col(c).alias("k")).agg(F.sum("n").alias(c))
+    chances = side("h").join(side("j"), "k").agg(F.coalesce(F.sum(F.col("h").cast("double") * F.col("j")), F.lit(0.0)).alias("c"))
+    count = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    paired = F.col("h").isNotNull() & F.col("j").isNotNull()
+    by = cells.agg(count(paired).alias("pairs"), count(F.col("h") == F.col("j")).alias("same"), count(F.col("j").isNull()).alias("only_human"), count(F.col("h").isNull()).alias("only_judge"))
+    one = by.crossJoin(chances)  # one row each
+    pairs = F.nullif(F.col("pairs"), F.lit(0))
+    po, pe = F.col("same") / pairs, F.col("c") / (pairs * pairs)
+    rows = one.select("pairs", F.round(po, 6).alias("agreement"), F.round(pe, 6).alias("expected"), F.when(pe < 1, F.round((po - pe) / (1 - pe), 6)).alias("kappa"), "only_human", "only_judge")
+    verdict = F.when(F.col("pairs") < least, "unmeasured").when((F.col("agreement") >= agreement) & (F.coalesce("kappa", F.lit(0.0)) >= chance), "usable").otherwise("weak")
+    return rows.withColumn("verdict", verdict)

@@ -1,8 +1,8 @@
 """The query catalogue: operators applied to the tables, with DuckDB SQL for each that SQL can express."""
 
-from . import governance, knowledge, lifecycle, operations, profiles, relational, retrieval, scalars, similarity, views
+from . import governance, knowledge, lifecycle, operations, profiles, relational, retrieval, scalars, similarity, stores, views
 
-PARTS = (relational.CATALOGUE, similarity.CATALOGUE, lifecycle.CATALOGUE, profiles.CATALOGUE, scalars.CATALOGUE, knowledge.CATALOGUE, views.CATALOGUE, governance.CATALOGUE, retrieval.CATALOGUE, operations.CATALOGUE)
+PARTS = (relational.CATALOGUE, similarity.CATALOGUE, lifecycle.CATALOGUE, profiles.CATALOGUE, scalars.CATALOGUE, knowledge.CATALOGUE, views.CATALOGUE, governance.CATALOGUE, retrieval.CATALOGUE, operations.CATALOGUE, stores.CATALOGUE)
 
 
 def all_queries() -> dict:
