@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import shared_folder
+from ..runtime import scratch
 
 HEAD, BLOCK, BUCKETS = 128, 256, 32
 
@@ -76,9 +76,7 @@ def build(postings: DataFrame, path: str) -> TermIndex:
 
 def build_scratch(postings: DataFrame, name: str) -> TermIndex:
     """``build`` in a new folder of the shared scratch space."""
-    import uuid
-
-    return build(postings, f"{shared_folder(postings.sparkSession)}/driftwell/{name}-{uuid.uuid4().hex}")
+    return build(postings, scratch(postings.sparkSession, name))
 
 
 def load(spark: SparkSession, path: str) -> TermIndex:

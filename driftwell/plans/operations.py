@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import redaction
 from ..functions import text as tx
 from ..operators import evaluation, incremental, noise, pairs, units
-from ..runtime import materialize, shared_folder
+from ..runtime import materialize, scratch
 from ..sources import runs, wire
 from ..sources.tables import table
 from ..streaming import outbox
@@ -20,10 +18,6 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
 
-def _folder(spark, name):
-    return f"{shared_folder(spark)}/driftwell/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def sealed_texts(spark, d):
     """Documents that hold secrets or personal data: the sealed text, and how many spans of each kind; tested against a plain reading of the rules."""
@@ -87,7 +81,7 @@ def noise_verdicts(spark, d):
 @query("SELECT 'ok' AS first, count(*) AS rows, 'digest' AS after FROM events")
 def run_drift(spark, d):
     """A content-addressed run of the events: whole when it is served, and told to have drifted once a row has changed."""
-    store, e = _folder(spark, "runs"), table(spark, d, "events")
+    store, e = scratch(spark, "runs"), table(spark, d, "events")
     run = runs.write(e, store, "events", {"table": "events"})
     first = runs.status(spark, store, run)
     runs.serve(spark, store, run, 0)
@@ -101,8 +95,8 @@ def run_drift(spark, d):
 def slot_reprojection(spark, d):
     """A store whose clicks were wrong and whose errors were missing, put right slot by slot, and its totals worked out anew where that touched them."""
     e = table(spark, d, "events").select("event_type", "user_id", "event_id", "value")
-    live = incremental.KeyedStore(spark, _folder(spark, "events"), "event_type string, user_id long, event_id long, value double", "user_id", "event_type", "event_id", 16)
-    totals = incremental.KeyedStore(spark, _folder(spark, "totals"), "user_id long, n long, total double", "user_id", "user_id", "user_id", 16)
+    live = incremental.KeyedStore(spark, scratch(spark, "events"), "event_type string, user_id long, event_id long, value double", "user_id", "event_type", "event_id", 16)
+    totals = incremental.KeyedStore(spark, scratch(spark, "totals"), "user_id long, n long, total double", "user_id", "user_id", "user_id", 16)
     project = lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     wrong = e.where("event_type <> 'error'").withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1).otherwise(F.col("value")))
     live.build(wrong)
@@ -138,6 +132,6 @@ def canonical_build(spark, d):
     same = rows.groupBy(F.sha2("answer", 256).alias("h"), "kind").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b", F.lit(True).alias("same"))
     other = rows.select(F.col("id").alias("a"), "kind", F.length(tx.squeeze(F.col("answer"))).alias("n")).alias("x").join(rows.select((F.col("id") - 1).alias("a"), F.col("kind").alias("k"), F.length(tx.squeeze(F.col("answer"))).alias("m")), "a")
     other = other.where((F.col("kind") != F.col("k")) | (F.col("n") > 2 * F.col("m")) | (F.col("m") > 2 * F.col("n"))).select("a", (F.col("a") + 1).alias("b"), F.lit(False).alias("same"))
-    store = _folder(spark, "canonical")
+    store = scratch(spark, "canonical")
     units.publish_canonical(built, found, same.union(other), store, "canonical", {"table": "documents"}, 0)
     return runs.serving(spark, store).select("canonical_id", "subject", "confidence", "lifecycle", "members", "reason")

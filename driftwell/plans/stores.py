@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evaluation, external, memory
-from ..runtime import materialize, shared_folder
+from ..runtime import materialize, scratch
 from ..sources import conversations
 from ..sources.tables import table
 from .catalogue import Catalogue
@@ -51,7 +49,7 @@ def affected_context(spark, d):
 @query("SELECT 'sessions' AS name, count(DISTINCT conv_id) AS rows, 0 AS summaries FROM conversations UNION ALL SELECT 'messages', count(*), 0 FROM conversations")
 def imported_generation(spark, d):
     """Two tables of a generation copied to another store, by name, with a column that the source is too old to have."""
-    source, target = (f"{shared_folder(spark)}/driftwell/{n}-{uuid.uuid4().hex}" for n in ("old", "new"))
+    source, target = (scratch(spark, n) for n in ("old", "new"))
     c = table(spark, d, "conversations")
     c.groupBy("conv_id").agg(F.count("*").alias("turns")).write.parquet(f"{source}/sessions/generation=g1")
     c.select("text", "turn", "conv_id", F.lit(1).alias("internal")).write.parquet(f"{source}/messages/generation=g1")

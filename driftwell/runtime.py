@@ -24,8 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Scratch tables of this driver process lie in one folder, so that they can be cleared together.
+RUN = uuid.uuid4().hex
+
+
+def scratch(spark: SparkSession, name: str = "") -> str:
+    """A new path among this run's scratch tables."""
+    return f"{shared_folder(spark)}/driftwell/{RUN}/{name}{'-' if name else ''}{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables that this run has written. DataFrames that still read from them can't be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/driftwell/{RUN}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read back: cuts the lineage of loops and survives lost executors; columns stay prunable."""
-    path = f"{shared_folder(df.sparkSession)}/driftwell/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

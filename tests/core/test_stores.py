@@ -120,3 +120,19 @@ def test_nested_values(spark):
     rows = [(1, '{"a":[{"Token":{"x":1}}],"sum":{"token":2}}'), (2, "not json"), (3, None)]
     got = {r.i: r.s for r in spark.createDataFrame(rows, "i long, j string").select("i", nested.seal_keys(F.col("j"), {"token"}, {"sum"}).alias("s")).collect()}
     assert got == {1: '{"a":[{"Token":"[SEALED]"}],"sum":{"token":2}}', 2: "[SEALED]", 3: None}
+
+
+def test_scratch_tables_are_cleared_together(spark, tmp_path):
+    from driftwell import runtime
+
+    was, runtime.RUN = runtime.RUN, "other-run"
+    try:
+        kept = runtime.scratch(spark, "kept")
+        df = runtime.materialize(spark.range(5))
+        assert df.count() == 5 and "/other-run/kept-" in kept
+        runtime.clear_scratch(spark)
+        from pathlib import Path
+
+        assert not Path(runtime.shared_folder(spark).removeprefix("file:"), "driftwell/other-run").exists()
+    finally:
+        runtime.RUN = was
