@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PIECE = 1 << 20  # characters of texts that are worked on at a time
 REMEMBERED = 300_000  # units that a worker keeps before it forgets the rare ones
@@ -91,9 +93,9 @@ def overlaps(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, end
 
 
 class Aligner:
-    """Units with their numbers of tokens and groups, links and, if asked for, written groups."""
+    """Units with their numbers of tokens and groups, links and written groups."""
 
-    def __init__(self, file_a: bytes, file_b: bytes, writes: bool = True):
+    def __init__(self, file_a: bytes, file_b: bytes):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -106,7 +108,6 @@ class Aligner:
         n, m = len(self.bytes_a), len(self.bytes_b)
         # What is written for a token: its id and what parts it from the next one.
         self.written = [b"%d%s" % (k, s) for s in (b",", b"|") for k in range(n)] + [b"%d%s" % (k, s) for s in (b",", b";") for k in range(m)]
-        self.writes = writes
         self.index: dict[str, int] = {}
         self._keep(np.zeros(0, np.int64), first=True)
 
@@ -122,7 +123,7 @@ class Aligner:
         ends = np.cumsum(n)
         self.links = self.links[np.repeat(self.at[rows] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)]
         self.at = np.concatenate([[0], ends])
-        self.text = [self.text[k] for k in rows.tolist()] if self.writes else []
+        self.text = [self.text[k] for k in rows.tolist()]
         self.numbers = self.numbers[rows]  # A tokens, B tokens, groups, 1 if bytes differ
         self.uses = np.zeros(len(rows), np.int64)
         self.held = sum(len(u) for u in self.index)
@@ -192,8 +193,6 @@ class Aligner:
         self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
         self.index.update(zip(units, range(len(self.index), len(self.index) + len(units)), strict=True))
         self.held += sum(map(len, units))
-        if not self.writes:
-            return
 
         # Groups are written in order, A tokens before B tokens; a token's place follows from how many stand before it.
         below_a, below_b = (np.concatenate([[0], np.cumsum(np.bincount(g, minlength=n_groups))]) for g in (group_a, group_b))
@@ -207,19 +206,19 @@ class Aligner:
         whole = b"".join(pieces)
         self.text += [whole[s:e] for s, e in zip(ends, ends[1:], strict=False)]
 
-    def counts(self, times: np.ndarray) -> np.ndarray:
-        """How often each possible pair is linked when unit k occurs ``times[k]`` times."""
-        total = np.zeros(len(self.pairs), np.int64)
-        np.add.at(total, self.links[: self.at[len(times)]], np.repeat(times, np.diff(self.at[: len(times) + 1])))
-        return total
+    def links_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``pairs`` of the links of these units, one unit after the other, and how many each has."""
+        n = self.at[rows + 1] - self.at[rows]
+        ends = np.cumsum(n)
+        return self.links[np.repeat(self.at[rows] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)], n
 
 
-def _aligner(files: tuple[str, bytes, bytes], writes: bool) -> Aligner:
+def _aligner(files: tuple[str, bytes, bytes]) -> Aligner:
     """The worker's aligner for these files; it outlives a task."""
     key, a, b = files
-    if key not in _aligners or _aligners[key].writes != writes:
+    if key not in _aligners:
         _aligners.clear()
-        _aligners[key] = Aligner(a, b, writes)
+        _aligners[key] = Aligner(a, b)
     return _aligners[key]
 
 
@@ -262,113 +261,102 @@ class Alignment:
         self.pairs = possible_links(bytes_of_a(file_a), bytes_of_b(file_b))
         self.files = (hashlib.sha256(file_a + file_b).hexdigest(), file_a, file_b)
 
-    def pair_counts(self, docs: DataFrame) -> DataFrame:
-        """(pair, count): links over all ``docs`` by place in ``pairs``; as many rows as ``pairs`` at most. Null ids count too."""
-        files = docs.sparkSession.sparkContext.broadcast(self.files)  # as large as the files
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            aligner = _aligner(files.value, False)
-            total = np.zeros(len(aligner.pairs), np.int64)
-            times = np.zeros(0, np.int64)
-
-            def settle() -> None:
-                nonlocal times
-                total[:] += aligner.counts(times)
-                times = np.zeros(0, np.int64)
-                if aligner.full():
-                    aligner.forget()
-
-            for b in batches:
-                texts = [t or "" for t in b.column(0).to_pylist()]
-                for i, j in _groups(texts):
-                    if aligner.full():
-                        settle()
-                    if j - i == 1:  # perhaps a long text: it counts if all its parts do
-                        before, seen = times, times
-                        for rows, _ in _rows(aligner, texts[i:j]):
-                            if not aligner.numbers[rows, 3].any():
-                                seen = _plus(seen, np.bincount(rows, minlength=len(aligner.numbers)))
-                            else:
-                                seen = before
-                                break
-                        times = seen
-                        continue
-                    rows, n = aligner.rows(texts[i:j])
-                    doc = np.repeat(np.arange(j - i), n)
-                    bad = np.bincount(doc, aligner.numbers[rows, 3], j - i) > 0
-                    times = _plus(times, np.bincount(rows[~bad[doc]], minlength=len(aligner.numbers)))
-            settle()
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pair", "count"])
-
-        return docs.select("text").mapInArrow(count, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count"))
-
-    def links(self, docs: DataFrame) -> DataFrame:
-        """(a_id, b_id, count, best): the linked id pairs of the corpus; best: no other pair of this B id has more links."""
-        ids = docs.sparkSession.createDataFrame([(k, int(p) >> 32, int(p) & 0xFFFFFFFF) for k, p in enumerate(self.pairs)], "pair long, a_id long, b_id long")
-        counted = ids.join(self.pair_counts(docs), "pair")
-        most = counted.groupBy("b_id").agg(F.max("count").alias("most"))
-        return counted.join(most, "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).alias("best"))
-
-    def align(self, docs: DataFrame) -> DataFrame:
-        """Rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups), one for each row of ``docs``.
+    def groups(self, docs: DataFrame) -> DataFrame:
+        """Rows (doc_id, n_a, n_b, n_groups, links, groups), one for each row of ``docs``.
 
-        groups: the groups in order as ``a1,a2|b1;a3|b2,b3``, empty without tokens. A link's count is how many links
-        of all ``docs`` join its two ids; n_best: links whose count is the greatest of their B id, ties included;
-        count_sum: the sum over links. Texts that are null, empty or not what their tokens' bytes say have zeros and
-        an empty string. Texts are worked on in parts, however long, but a run without a cut is one unit and the
-        written groups are one value. Repeated rows count each; other columns are not read; an empty table gives none.
+        groups: the groups in order as ``a1,a2|b1;a3|b2,b3``, empty without tokens; links: places in ``pairs`` of the
+        A and B tokens that end together. Texts that are null, empty or not what their tokens' bytes say have zeros,
+        an empty string and no links. Texts are worked on in parts, however long, but a run without a cut is one unit
+        and a row's groups are one value. Repeated rows count each; other columns are not read; an empty table gives
+        none.
         """
-        counts = np.zeros(len(self.pairs), np.int64)
-        for r in self.pair_counts(docs).collect():  # at most a row for each possible pair of the two vocabularies
-            counts[r.pair] = r["count"]
-        of_b = self.pairs & 0xFFFFFFFF
-        most = np.zeros(int(of_b.max(initial=0)) + 1, np.int64)
-        np.maximum.at(most, of_b, counts)
-        sc = docs.sparkSession.sparkContext
-        files, known = sc.broadcast(self.files), sc.broadcast((counts, counts == most[of_b]))
+        files = docs.sparkSession.sparkContext.broadcast(self.files)  # as large as the files
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            aligner = _aligner(files.value, True)
-            counts, best = known.value
-            sums = np.zeros((0, 7), np.int64)  # numbers of each unit, then links, best links, sum of counts
-
-            def of_units() -> np.ndarray:
-                nonlocal sums
-                if len(sums) != len(aligner.numbers):
-                    new = slice(len(sums), len(aligner.numbers))
-                    at = aligner.at[new.start : new.stop + 1]
-                    links = aligner.links[at[0] :]
-                    of = [np.concatenate([[0], np.cumsum(x)]) for x in (np.ones(len(links), np.int64), best[links], counts[links])]
-                    sums = np.concatenate([sums, np.column_stack([aligner.numbers[new], *(np.diff(c[at - at[0]]) for c in of)])])
-                return sums
-
+            aligner = _aligner(files.value)
             for b in batches:
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 for i, j in _groups(texts):
                     if aligner.full():
                         aligner.forget()
-                        sums = np.zeros((0, 7), np.int64)
-                    total, written = np.zeros((j - i, 7), np.int64), [[] for _ in range(j - i)]
+                    total, written, links = np.zeros((j - i, 4), np.int64), [[] for _ in range(j - i)], []
+                    size = np.zeros(j - i, np.int64)
                     for own, n in _rows(aligner, texts[i:j]):
                         some, ends = n > 0, np.cumsum(n)
+                        found, each = aligner.links_of(own)
                         if len(own):
-                            total[some] += np.add.reduceat(of_units()[own], (ends - n)[some])
+                            total[some] += np.add.reduceat(aligner.numbers[own], (ends - n)[some])
+                            size[some] += np.add.reduceat(each, (ends - n)[some])
+                        links.append(found)
                         parts = list(map(aligner.text.__getitem__, own.tolist()))
                         for k, e in enumerate(ends.tolist()):
                             written[k].append(b"".join(parts[e - int(n[k]) : e]))
                     bad = total[:, 3] > 0
                     total[bad] = 0
-                    groups = [b"" if x else b"".join(w)[:-1] for x, w in zip(bad, written, strict=True)]
-                    columns = [pa.array(total[:, k], pa.int64()) for k in (0, 1, 2, 4, 5, 6)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *columns, pa.array(groups, pa.binary()).cast(pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+                    whole = np.concatenate(links)[~np.repeat(bad, size)].astype(np.int32)
+                    size[bad] = 0
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(whole))
+                    said = [b"" if x else b"".join(w)[:-1] for x, w in zip(bad, written, strict=True)]
+                    columns = [pa.array(total[:, k], pa.int64()) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *columns, lists, pa.array(said, pa.binary()).cast(pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "links", "groups"])
+
+        return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_a long, n_b long, n_groups long, links array<int>, groups string")
+
+    def counts(self, aligned: DataFrame) -> np.ndarray:
+        """How many links of all rows join each of ``pairs``: a vector as long as the vocabularies allow, however many rows there are."""
+        size = len(self.pairs)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size, np.int64)
+            for b in batches:
+                total += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pair", "count"])
 
-        return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+        out = np.zeros(size, np.int64)
+        for r in aligned.select("links").mapInArrow(count, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count")).collect():  # ``size`` rows at most
+            out[r.pair] = r["count"]
+        return out
 
+    def _best(self, counts: np.ndarray) -> np.ndarray:
+        """Which pairs have the greatest count of their B id, ties included."""
+        of_b = self.pairs & 0xFFFFFFFF
+        most = np.zeros(int(of_b.max(initial=0)) + 1, np.int64)
+        np.maximum.at(most, of_b, counts)
+        return counts == most[of_b]
 
-def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if len(a) < len(b):
-        a, b = b, a
-    a = a.copy()
-    a[: len(b)] += b
-    return a
+    def links(self, docs: DataFrame) -> DataFrame:
+        """(a_id, b_id, count, best): the linked id pairs of the corpus; best: no other pair of this B id has more links."""
+        counts = self.counts(self.groups(docs))
+        at, best = np.flatnonzero(counts), self._best(counts)
+        rows = [(int(self.pairs[k]) >> 32, int(self.pairs[k]) & 0xFFFFFFFF, int(counts[k]), bool(best[k])) for k in at]
+        return docs.sparkSession.createDataFrame(rows, "a_id long, b_id long, count long, best boolean")
+
+    def with_counts(self, aligned: DataFrame) -> DataFrame:
+        """Rows of ``groups``, with whatever columns they have got since, with n_links, n_best and count_sum for ``links``.
+
+        A link's count is how many links of all rows join its two ids; n_best: links whose count is the greatest of
+        their B id, ties included; count_sum: the sum over links. The rows are written once, so that the texts are
+        encoded once.
+        """
+        aligned = materialize(aligned)
+        counts = self.counts(aligned)
+        known = aligned.sparkSession.sparkContext.broadcast((counts, self._best(counts)))
+        kept = [c for c in aligned.columns if c != "links"]
+        types = dict(aligned.dtypes)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, best = known.value
+            for b in batches:
+                links = b.column(len(kept))
+                n, at = links.value_lengths().to_numpy(), links.flatten().to_numpy()
+                ends = np.cumsum(n)
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (best[at], counts[at])]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), pa.array(n, pa.int64()), *(pa.array(x[ends] - x[ends - n], pa.int64()) for x in sums)], [*kept, "n_links", "n_best", "count_sum"])
+
+        schema = "".join(f"`{c}` {types[c]}, " for c in kept)
+        return aligned.select(*kept, "links").mapInArrow(rows, schema + "n_links long, n_best long, count_sum long")
+
+    def align(self, docs: DataFrame) -> DataFrame:
+        """``groups`` of ``docs`` ``with_counts``."""
+        return self.with_counts(self.groups(docs))

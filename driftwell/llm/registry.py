@@ -68,8 +68,9 @@ def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
         with open(f"{folder}/{name}", "rb") as f:
             files.append(f.read())
-    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return alignment.Alignment(*files).align(documents(spark, sf_dir)).withColumn("groups_sha256", groups).drop("groups")
+    both = alignment.Alignment(*files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return both.with_counts(both.groups(documents(spark, sf_dir)).withColumn("groups_sha256", digest).drop("groups"))
 
 
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
