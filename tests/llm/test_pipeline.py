@@ -1,5 +1,6 @@
 import corpus_pipeline
 from driftwell.llm import mixing, quality
+from driftwell.llm._shared import materialize
 
 from .conftest import prose
 
@@ -40,3 +41,24 @@ def test_stages(spark, tmp_path):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[r.source] - r.target) <= 0.5 for r in got)
     assert quality.FEATURES
+
+
+def written(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0), (2, 1, 0), (9, 0, 1), (11, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one passage of eight words that nobody has"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_bear_awkward_and_no_rows(spark, tmp_path, awkward, empty):
+    """Nulls, repeated rows and clashing columns go through every stage but the mix with the columns they came with; an empty table stays one."""
+    for name, docs in (("awkward", awkward), ("empty", empty)):
+        (tmp_path / name).mkdir()
+        sf = written(spark, tmp_path / name, docs)
+        for stage, f in corpus_pipeline.STAGES:
+            out = materialize(f(spark, docs, sf))
+            if stage != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns, stage
+            assert out.count() <= docs.count()
+            docs = out
+        assert docs.count() == 0 if name == "empty" else docs.count() > 3
