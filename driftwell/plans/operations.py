@@ -64,9 +64,16 @@ def outbox_states(spark, d):
     return outbox.settled(_commands(spark, d), lease=6 * 3_600_000)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id AS subject, date_trunc('day', ts) AS win, date_trunc('day', ts) + to_hours((user_id % 24)::INT) AS tm, event_id AS candidate, least(value / 40, 1.0) AS score, event_type AS domain, event_type || ':' || json_extract_string(props, '$.k') AS key, (user_id + 8) % 24 >= 22 OR (user_id + 8) % 24 < 7 AS quiet, ts FROM events),
+v AS (SELECT *, CASE WHEN domain = 'error' THEN 'privacy_veto' WHEN candidate % 17 = 0 THEN 'evidence_veto' WHEN tm >= ts + INTERVAL 20 HOURS THEN 'expired' WHEN score < 0.2 THEN 'below_threshold' WHEN candidate % 19 = 0 THEN 'duplicate_no_material_change' END AS veto FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY tm, score DESC, candidate) AS n FROM v WHERE veto IS NULL),
+r AS (SELECT DISTINCT subject, 0::BIGINT AS n, NULL::TIMESTAMP AS win, []::VARCHAR[] AS used, []::STRUCT(key VARCHAR, tm TIMESTAMP)[] AS shown, NULL::BIGINT AS candidate, NULL::VARCHAR AS verdict FROM e
+UNION ALL SELECT subject, n, win, CASE WHEN verdict = 'shown' THEN list_append(used, domain) ELSE used END, CASE WHEN verdict = 'shown' THEN list_append(shown, {'key': key, 'tm': tm}) ELSE shown END, candidate, verdict
+FROM (SELECT *, CASE WHEN len(list_filter(shown, lambda x: x.key = y.key AND y.tm - x.tm < INTERVAL 24 HOURS)) > 0 THEN 'cooldown_active' WHEN quiet THEN 'quiet_period' WHEN len(used) >= 3 AND score < 0.95 THEN 'global_budget_exhausted' WHEN len(list_filter(used, lambda x: x = y.domain)) >= 2 AND score < 0.95 THEN 'domain_budget_exhausted' ELSE 'shown' END AS verdict
+FROM (SELECT e.subject, e.n, e.win, e.tm, e.key, e.domain, e.score, e.quiet, e.candidate, CASE WHEN e.win = r.win THEN r.used ELSE [] END AS used, r.shown FROM r JOIN e ON e.subject = r.subject AND e.n = r.n + 1) y))
+SELECT subject, candidate, verdict FROM r WHERE n > 0 UNION ALL SELECT subject, candidate, veto FROM v WHERE veto IS NOT NULL""")
 def noise_verdicts(spark, d):
-    """Events as candidates of their user, a window being a day; tested against a plain loop."""
+    """Events as candidates of their user, a window being a day."""
     e = table(spark, d, "events")
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
     at = day + F.make_interval(hours=(F.col("user_id") % 24).cast("int"))
