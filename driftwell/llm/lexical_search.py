@@ -154,10 +154,8 @@ def search(block: Block, terms: np.ndarray, weights: np.ndarray, best: Best) ->
             np.add.at(score, which, block.impact[posting] * np.broadcast_to(weights, n.shape).ravel()[run])
             best.add(score, block.ids[doc], block.known[doc])
         wide = take[hi[take] - lo[take] > SHORT]
-        new = []
         if len(wide):
             splits += len(wide)
-            row = np.arange(len(wide))
             doc = block.doc[top[wide, value[wide].argmax(1)]]
             # The postings of an interval are in order of document, so a step of halves finds the document's place in each list.
             low, high = at[wide].copy(), to[wide].copy()
@@ -168,11 +166,10 @@ def search(block: Block, terms: np.ndarray, weights: np.ndarray, best: Best) ->
             hit = (low < to[wide]) & (block.doc[np.minimum(low, len(block.doc) - 1)] == doc[:, None])
             score = (np.where(hit, block.impact[np.minimum(low, len(block.doc) - 1)], 0) * weights).sum(1)
             best.add(score, block.ids[doc], block.known[doc])
-            new = [(lo[wide], doc, at[wide], low), (doc + 1, hi[wide], low + hit, to[wide])]
-            lo2, hi2, at2, to2 = (np.concatenate(x) for x in zip(*new, strict=True))
+            halves = (lo[wide], doc, at[wide], low), (doc + 1, hi[wide], low + hit, to[wide])
+            lo2, hi2, at2, to2 = (np.concatenate(x) for x in zip(*halves, strict=True))
             top2 = block.greatest(at2, to2)
             value2 = np.where(top2 >= 0, block.impact[top2], 0) * weights
-            del row
         else:
             lo2, hi2, at2, to2, top2, value2 = lo[:0], hi[:0], at[:0], to[:0], top[:0], value[:0]
         lo, hi, at, to, top, value = (np.concatenate([x[rest], y]) for x, y in ((lo, lo2), (hi, hi2), (at, at2), (to, to2), (top, top2), (value, value2)))
