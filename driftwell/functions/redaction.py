@@ -89,6 +89,7 @@ def _rules() -> tuple[Rule, ...]:
     def add(kind: str, pattern: str, *hints: str, scope: str = "credentials") -> None:
         out.append(Rule(kind, scope, re.compile(pattern), hints))
 
+    # The forms in which secrets and personal data are written.
     add("private-key", rf"-----BEGIN {_PEM}[\s\S]*?-----END {_PEM}", "private key")
     for kind, prefix, rest in _KEYS:
         add(kind, rf"\b{re.escape(prefix)}{rest}\b", prefix.lower())
