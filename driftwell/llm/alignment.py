@@ -25,8 +25,9 @@ from ._shared import materialize
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PIECE = 1 << 20  # characters of texts that are worked on at a time
-REMEMBERED = 300_000  # units that a worker keeps before it forgets the rare ones
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED = 120_000  # units that a worker keeps before it forgets the rare ones
+REMEMBERED_BYTES = 32 << 20
+ROWS = 500  # of a batch whose texts are held as strings at a time
 
 _aligners: dict[str, Aligner] = {}
 
@@ -114,7 +115,7 @@ class Aligner:
     def _keep(self, rows: np.ndarray, first: bool = False) -> None:
         """Forget all units but these rows, which are numbered anew."""
         if first:
-            self.text, self.numbers, self.links, self.at = [], np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+            self.text, self.numbers, self.links, self.at = [], np.zeros((0, 4), np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
         new = np.full(len(self.numbers), -1)
         new[rows] = np.arange(len(rows))
         new = new.tolist()
@@ -187,9 +188,9 @@ class Aligner:
         unit_a = np.repeat(np.arange(len(units)), n_a)
         groups = np.bincount(unit_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(units)) if n_groups else np.zeros(len(units), np.int64)
         linked = np.bincount(unit_a[i], minlength=len(units))
-        self.links = np.concatenate([self.links, np.searchsorted(self.pairs, flat_a[i] << 32 | flat_b[j])])
+        self.links = np.concatenate([self.links, np.searchsorted(self.pairs, flat_a[i] << 32 | flat_b[j]).astype(np.int32)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(linked)])
-        self.numbers = np.concatenate([self.numbers, np.column_stack([n_a, n_b, groups, bad])])
+        self.numbers = np.concatenate([self.numbers, np.column_stack([n_a, n_b, groups, bad]).astype(np.int32)])
         self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
         self.index.update(zip(units, range(len(self.index), len(self.index) + len(units)), strict=True))
         self.held += sum(map(len, units))
@@ -274,7 +275,7 @@ class Alignment:
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             aligner = _aligner(files.value)
-            for b in batches:
+            for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 for i, j in _groups(texts):
                     if aligner.full():
@@ -285,7 +286,7 @@ class Alignment:
                         some, ends = n > 0, np.cumsum(n)
                         found, each = aligner.links_of(own)
                         if len(own):
-                            total[some] += np.add.reduceat(aligner.numbers[own], (ends - n)[some])
+                            total[some] += np.add.reduceat(aligner.numbers[own].astype(np.int64), (ends - n)[some])
                             size[some] += np.add.reduceat(each, (ends - n)[some])
                         links.append(found)
                         parts = list(map(aligner.text.__getitem__, own.tolist()))
@@ -307,6 +308,7 @@ class Alignment:
         size = len(self.pairs)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _aligners.clear()  # a worker that has encoded texts doesn't need its units any more
             total = np.zeros(size, np.int64)
             for b in batches:
                 total += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
@@ -346,6 +348,7 @@ class Alignment:
         types = dict(aligned.dtypes)
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _aligners.clear()
             counts, best = known.value
             for b in batches:
                 links = b.column(len(kept))
