@@ -27,7 +27,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 PIECE = 1 << 20  # characters of texts that are worked on at a time
 REMEMBERED = 120_000  # units that a worker keeps before it forgets the rare ones
 REMEMBERED_BYTES = 32 << 20
-ROWS = 500  # of a batch whose texts are held as strings at a time
+ROWS = 500  # of a batch whose texts or links are worked on at a time
 
 _aligners: dict[str, Aligner] = {}
 
@@ -232,6 +232,12 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[start:]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            yield whole.slice(at, ROWS)
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about PIECE characters; a longer text stands alone."""
     start, total = 0, 0
@@ -275,7 +281,7 @@ class Alignment:
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             aligner = _aligner(files.value)
-            for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            for b in _slices(batches):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 for i, j in _groups(texts):
                     if aligner.full():
@@ -310,7 +316,7 @@ class Alignment:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _aligners.clear()  # a worker that has encoded texts doesn't need its units any more
             total = np.zeros(size, np.int64)
-            for b in batches:
+            for b in _slices(batches):
                 total += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pair", "count"])
@@ -350,7 +356,7 @@ class Alignment:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _aligners.clear()
             counts, best = known.value
-            for b in batches:
+            for b in _slices(batches):
                 links = b.column(len(kept))
                 n, at = links.value_lengths().to_numpy(), links.flatten().to_numpy()
                 ends = np.cumsum(n)
