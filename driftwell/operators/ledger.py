@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +44,32 @@ def hash_sum(*parts: Column) -> Column:
     return F.concat_ws("-", part(1), part(16))
 
 
+def ordered_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, members, digest, anchors) of batches (key, member, n) sorted by key and member: SHA-256 over a key's members joined by commas.
+
+    Null members count among the anchors alone. One key's state is held at a time.
+    """
+    at, seen = object(), False
+    members = anchors = 0
+    state = sha256()
+    row = lambda: (at, members, state.hexdigest(), anchors)
+    for b in batches:
+        names, out = list(b.columns), []
+        for key, member, n in zip(*(b[c] for c in names), strict=True):
+            key = None if pd.isna(key) else key
+            if not seen or key != at:
+                if seen:
+                    out.append(row())
+                at, seen, members, anchors, state = key, True, 0, 0, sha256()
+            anchors += n
+            if not pd.isna(member):
+                state.update((b"," if members else b"") + str(int(member)).encode())
+                members += 1
+        yield pd.DataFrame(out, columns=["topic", "members", "member_digest", "anchors"])
+    if seen:
+        yield pd.DataFrame([row()], columns=["topic", "members", "member_digest", "anchors"])
+
+
 def violations(rules: dict[str, DataFrame]) -> DataFrame:
     """(rule, violations) of each rule's offending rows; a gate passes where all are 0."""
     out = None
