@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..runtime import materialize
-from . import dedup, graph, vectors
+from . import graph, set_pairs, vectors
 
 
 def exact(units: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def exact(units: DataFrame) -> DataFrame:
 def semantic(found: DataFrame, embeddings: DataFrame, least: float = 0.95) -> DataFrame:
     """``exact`` with representatives of similar vectors (id, embedding) joined: the least representative of a component stands."""
     reps = found.select(F.col("representative").alias("id")).distinct()
-    near = vectors.similar(embeddings.join(reps, "id", "left_semi"), least, "id").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    near = vectors.links(materialize(embeddings.join(reps, "id", "left_semi")), [least], "id").select("src", "dst")
     parts = graph.components(near).select(F.col("node").alias("representative"), "component")
     return found.join(parts, "representative", "left").select("id", F.coalesce("component", "representative").alias("representative"))
 
@@ -30,19 +30,23 @@ def attach(new: DataFrame, canonical: DataFrame) -> DataFrame:
     """(id, canonical, score) for units (id, kind, subject, answer) that belong to a canonical one of their kind.
 
     Likeness is the Jaccard similarity of 4-grams. A subject of 0.5 is needed; then an answer of 0.85, or a subject of
-    0.9 with an answer of 0.6. The best by 0.4 subject + 0.6 answer is taken, ties by the least id. Candidates come
-    from the subjects' rare grams, so kinds are never paired whole.
+    0.9 with an answer of 0.6. The best by 0.4 subject + 0.6 answer is taken, ties by the least id. Units of equal
+    grams are compared once. Candidates are those whose answers may reach 0.85 or whose subjects may reach 0.9.
     """
-    cols = lambda d, side: d.select(F.lit(side).alias("side"), F.col("id"), "kind", tx.ngrams(F.col("subject")).alias("s"), tx.ngrams(F.col("answer")).alias("t"))
-    rows = materialize(cols(new, 0).union(cols(canonical, 1)).withColumn("key", F.struct("side", "id")))
-    near = dedup.similar_sets(rows, "key", "s", 0.5)
-    x, y = (rows.where(F.col("side") == k).select(F.col("key").alias(c), F.col("kind").alias(f"k{c}"), F.col("t").alias(f"t{c}")) for k, c in ((0, "a"), (1, "b")))
-    subject = F.col("common") / (F.col("m") + F.col("n") - F.col("common"))
-    both = near.join(x, "a").join(y, "b").where("ka = kb").select(F.col("a.id").alias("id"), F.col("b.id").alias("canonical"), subject.alias("subject"), tx.jaccard(F.col("ta"), F.col("tb")).alias("answer"))
+    grams = lambda c: F.array_sort(F.transform(tx.ngrams(F.col(c)), lambda g: F.xxhash64(g)))
+    given = lambda d: materialize(d.select("id", "kind", grams("subject").alias("s"), grams("answer").alias("t")).withColumn("h", F.xxhash64("s", "t")))
+    first = lambda rows: materialize(rows.where("size(s) > 0 AND size(t) > 0").groupBy("kind", "h").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.first("t").alias("t")))
+    rows = given(new)
+    one, other = first(rows), first(given(canonical))
+    of = lambda d, c: d.select("id", "kind", F.col(c).alias("g"))
+    near = set_pairs.candidates(of(one, "t"), of(other, "t"), 0.85).union(set_pairs.candidates(of(one, "s"), of(other, "s"), 0.9)).distinct()
+    x, y = (d.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"), F.col("t").alias(f"t{c}")) for d, c in ((one, "a"), (other, "b")))
+    both = materialize(near).join(x, "a").join(y, "b").select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("subject"), tx.jaccard(F.col("ta"), F.col("tb")).alias("answer"))
     good = both.where((F.col("subject") >= 0.5) & ((F.col("answer") >= 0.85) | ((F.col("subject") >= 0.9) & (F.col("answer") >= 0.6))))
     score = F.round(0.4 * F.col("subject") + 0.6 * F.col("answer"), 6)
-    best = good.withColumn("score", score).groupBy("id").agg(F.max(F.struct("score", (-F.col("canonical")).alias("minus"))).alias("b"))
-    return best.select("id", (-F.col("b.minus")).alias("canonical"), F.col("b.score").alias("score"))
+    best = good.withColumn("score", score).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("minus"))).alias("b"))
+    mine = rows.select("id", "kind", "h").join(one.select("kind", "h", F.col("id").alias("a")), ["kind", "h"])
+    return mine.join(best, "a").select("id", (-F.col("b.minus")).alias("canonical"), F.col("b.score").alias("score"))
 
 
 def ledger(old: DataFrame, new: DataFrame, group: str, ident: str, fact: str) -> DataFrame:
