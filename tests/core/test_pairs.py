@@ -5,6 +5,7 @@ import re
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftwell.operators import pairs
 
@@ -65,3 +66,53 @@ def test_best_pairs_equal_all_pairs(spark, vocabulary):
     frame = spark.createDataFrame(rows, "conv long, turn long, text string")
     got = sorted(tuple(x) for x in pairs.best_pairs(frame, "conv", "turn", "text").collect())
     assert got == plain(rows, 0.75)
+
+
+def test_unlike_texts_are_given_up_early(monkeypatch):
+    calls = []
+
+    class Counted(SequenceMatcher):
+        def find_longest_match(self, *place):
+            calls.append(place)
+            return super().find_longest_match(*place)
+
+    monkeypatch.setattr(pairs, "SequenceMatcher", Counted)
+    r = random.Random(5)
+    a = "".join(r.choice("abcdefghij") for _ in range(190))
+    b = "".join(r.sample(a, len(a)))
+    assert not pairs.at_least(a, b, 0.75) and len(calls) < len(Counted(None, a, b).get_matching_blocks()) / 2
+    b = a[:80] + "x" + a[85:]
+    for limit in (0.5, 0.75, 0.95, 0.99):
+        assert pairs.at_least(a, b, limit) == (SequenceMatcher(None, a, b).ratio() >= limit)
+
+
+def test_best_pairs_of_texts_with_and_without_words(spark):
+    """Copies in any order, pairs that share no word, pairs nearly alike one way round alone."""
+    r = random.Random(11)
+    rows = []
+    for g in range(200):
+        kinds = r.choice([["a", "é", "a é", "é a", "b", "ba", "ab"], ["ab cd", "ab ce", "ab  CD", "cd ab", "é", "x y"], ["".join(r.choice("abé ") for _ in range(r.randint(1, 9))) for _ in range(5)]])
+        rows += [(g, o, r.choice(kinds)) for o in range(r.randint(2, 7))]
+    frame = spark.createDataFrame(rows, "conv long, turn long, text string")
+    assert sorted(tuple(x) for x in pairs.best_pairs(frame, "conv", "turn", "text").collect()) == plain(rows, 0.75)
+
+
+def test_best_pairs_match_few_texts(spark, monkeypatch, tmp_path):
+    """Texts are matched from the best score on, not for every pair that shares a word."""
+    real = pairs.at_least
+
+    def differs(x, y, limit):
+        @F.udf("boolean")
+        def run(a, b):
+            with open(tmp_path / "matched", "a") as f:
+                f.write(".")
+            return not real(a, b, limit)
+
+        return run(x, y)
+
+    monkeypatch.setattr(pairs, "differs", differs)
+    r = random.Random(7)
+    rows = [(g, o, " ".join(f"w{r.randrange(60)}" for _ in range(10))) for g in range(5) for o in range(30)]
+    frame = spark.createDataFrame(rows, "conv long, turn long, text string")
+    assert sorted(tuple(x) for x in pairs.best_pairs(frame, "conv", "turn", "text").collect()) == plain(rows, 0.75)
+    assert (tmp_path / "matched").stat().st_size <= 5 * 10
