@@ -20,6 +20,7 @@ from ..runtime import materialize
 GRAM, WINDOW = 8, 13
 LEAST = GRAM + WINDOW - 1
 PIECE = 1 << 20  # characters of a text that are worked on at a time
+UNIT = 1 << 15  # rows of a group whose passages are looked for together, some 70 MB
 
 
 def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
@@ -85,18 +86,69 @@ def contained(needles: DataFrame, texts: DataFrame, needle_id: str = "needle_id"
     return asked.join(good, "s").select(F.col("n").alias(needle_id), F.col("t").alias(text_id)).distinct()
 
 
-def contained_in_group(runs: DataFrame, texts: DataFrame, group: str) -> DataFrame:
-    """(q, t): texts that contain a run of a needle, both of one group; ``runs`` is (q, run, group) with runs of one length, ``texts`` (t, text, group).
+def best_sources(df: DataFrame, group: str, order: str, text: str, start: int, length: int, run: int) -> DataFrame:
+    """(group, order, source, exact): for each row's passage, ``length`` characters from ``start`` on, the other row of its group that has it best.
 
-    A text's grams of that length meet runs by their hash and the group, so a group of any size is dealt by what it
-    holds; a long text gives one row for each of its grams that some needle asks for. Nulls meet nothing.
+    A row has a passage if its text contains it (exact is 1) or any ``run`` characters of it (0). Exact goes before
+    partial, then long texts before short ones, then the least ``order``, a long that tells the rows of a group apart.
+    Rows with a null and texts too short for the passage ask for none; passages that no other row has give no row.
+
+    A group's passages and texts come together as one sorted stream, each text once: passages first, whose runs are
+    held, then texts, of which the two best for each run are kept, since one may be the row that asks. A group of more
+    than UNIT rows is dealt into parts by hash, and each part of passages meets each part of texts in a stream of its own.
     """
-    asked = materialize(runs.where(F.col("run").isNotNull()).withColumn("h", F.xxhash64("run", group)))
-    n = F.length(asked["run"])
-    length = asked.agg(F.max(n)).first()[0]
-    if length is None:
-        return asked.select("q", F.lit(None).cast("long").alias("t"))
-    places = F.sequence(F.lit(1), F.length("text") - length + 1)
-    grams = texts.where(F.length("text") >= length).select("t", group, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("text", i, F.lit(length))))).alias("run"))
-    met = grams.withColumn("h", F.xxhash64("run", group)).join(asked.select("q", "h", "run", group), ["h", "run", group])
-    return met.select("q", "t").distinct()
+    rows = df.select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.col(text).alias("x")).dropna()
+    parts = F.ceil(F.count("*") / UNIT).cast("int")
+    large = rows.groupBy("g").agg(parts.alias("parts")).where("parts > 1")  # a row for UNIT rows at most
+    rows = rows.join(F.broadcast(large), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("o", "x"), F.col("parts")).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    passage = F.substring("x", start, length)
+    ask = rows.where(F.length(passage) == length).select("g", F.col("own").alias("p"), F.col("each").alias("t"), F.lit(0).alias("side"), "o", passage.alias("x"))
+    hold = rows.where(F.length("x") >= run).select("g", F.col("each").alias("p"), F.col("own").alias("t"), F.lit(1).alias("side"), "o", "x")
+    stream = ask.union(hold).repartition("g", "p", "t").sortWithinPartitions("g", "p", "t", "side")
+
+    def keep(best: dict, key: str, n: int, o: int) -> None:
+        """The two best (length, -order) of a key, of two rows."""
+        new, held = (n, -o), best[key] or ()
+        if new not in held and (len(held) < 2 or new > held[1]):
+            other = [h for h in held if h[1] != -o]
+            if len(other) == len(held) or new > next(h for h in held if h[1] == -o):
+                best[key] = tuple(sorted([new, *other], reverse=True)[:2])
+
+    def found(g, asked: list, best: dict) -> Iterator[tuple]:
+        for o, s in asked:
+            for exact, keys in ((1, (s,)), (0, (s[i : i + run] for i in range(length - run + 1)))):
+                good = [h for k in keys for h in best[k] or () if h[1] != -o]
+                if good:
+                    n, source = max(good)
+                    yield g, o, -source, exact, n
+                    break
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, asked, best = None, [], {}
+        columns = ["g", "o", "source", "exact", "n"]
+        for b in batches:
+            out = []
+            for g, p, t, side, o, x in zip(*(b[c] for c in ("g", "p", "t", "side", "o", "x")), strict=True):
+                if (g, p, t) != at:
+                    if at is not None:
+                        out += found(at[0], asked, best)
+                    at, asked, best = (g, p, t), [], {}
+                if side == 0:
+                    asked.append((o, x))
+                    for k in (x, *(x[i : i + run] for i in range(length - run + 1))):
+                        best.setdefault(k)
+                elif best:
+                    for i in range(len(x) - run + 1):
+                        if (k := x[i : i + run]) in best:
+                            keep(best, k, len(x), o)
+                            if (k := x[i : i + length]) in best:
+                                keep(best, k, len(x), o)
+            yield pd.DataFrame(out, columns=columns)
+        if at is not None:
+            yield pd.DataFrame(list(found(at[0], asked, best)), columns=columns)
+
+    hits = stream.mapInPandas(search, f"g {rows.schema['g'].dataType.simpleString()}, o long, source long, exact long, n long")
+    place = F.struct("exact", "n", (-F.col("source")).alias("first"))
+    by = hits.groupBy("g", "o").agg(F.max_by("source", place).alias("source"), F.max("exact").alias("exact"))
+    return by.select(F.col("g").alias(group), F.col("o").alias(order), "source", "exact")

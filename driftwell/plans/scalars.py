@@ -147,15 +147,9 @@ SELECT conv_id, turn, arg_max(source, (exact::INT, n, -source)) AS source, max(e
 def quote_support(spark, d):
     """For a quote of each turn the other turn of its conversation that supports it best: exact before partial, long before short.
 
-    Partial support is any run of ten characters of the quote, so turns meet by the runs of ten that quotes have.
+    Partial support is any run of ten characters of the quote.
     """
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.xxhash64("conv_id", "turn").alias("id"))
-    q = c.select("conv_id", "turn", "id", F.substring("text", 5, 14).alias("quote")).where(F.length("quote") == 14)
-    runs = q.select(F.col("id").alias("q"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.substr("quote", i, F.lit(10)))).alias("run"), F.col("conv_id"))
-    pairs = substrings.contained_in_group(runs, c.select(F.col("id").alias("t"), "conv_id", "text"), "conv_id")
-    sides = q.select(F.col("id").alias("q"), "conv_id", "turn", "quote").join(pairs, "q").join(c.select(F.col("id").alias("t"), F.col("turn").alias("source"), "text"), "t").where(F.col("turn") != F.col("source"))
-    rows = sides.select("conv_id", "turn", "source", F.contains("text", "quote").cast("long").alias("exact"), F.length("text").alias("n"))
-    return rows.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct("exact", "n", (-F.col("source")).alias("first"))).alias("source"), F.max("exact").alias("exact"))
+    return substrings.best_sources(table(spark, d, "conversations"), "conv_id", "turn", "text", start=5, length=14, run=10)
 
 
 @query("""SELECT event_id, sha256('{"event":' || event_id || ',"k":' || json_extract(props, '$.k') || '}') AS checksum FROM events""")

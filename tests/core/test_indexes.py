@@ -1,5 +1,6 @@
 """Term index, substring join and clustered vector index against plain versions."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import substrings, term_index, vector_index
+from driftwell.plans import scalars
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +141,42 @@ def test_odd_vectors(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == [(9, 1, 1), (9, 2, 4), (10, 1, 1), (10, 2, 2)]
     empty = vector_index.build(frame.limit(0))
     assert vector_index.search(empty, frame.withColumnRenamed("vec_id", "query_id"), 2).collect() == []
+
+
+def _plain_sources(rows, start, length, run):
+    out = []
+    for g, o, t in rows:
+        q = t[start - 1 : start - 1 + length] if None not in (g, o, t) else ""
+        if len(q) == length:
+            has = [(int(q in x), len(x), -p) for h, p, x in rows if h == g and None not in (p, x) and p != o and any(q[i : i + run] in x for i in range(length - run + 1))]
+            if has:
+                out.append((g, o, -max(has)[2], max(has)[0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("unit", [3, 1 << 15])
+def test_best_sources_equal_all_pairs(spark, monkeypatch, unit):
+    monkeypatch.setattr(substrings, "UNIT", unit)
+    r = random.Random(unit)
+    rows = [(g, o, "".join(r.choice("ab" if g % 2 else "abcé漢𝄞") for _ in range(r.randint(0, 30)))) for g in range(12) for o in range(r.randint(1, 14))]
+    rows += [(20, o, "the same opening words" + " more" * (o % 3)) for o in range(10)]  # copies, and ties in length
+    rows += [(21, 0, "0123abcdefghijklmn"), (21, 1, "....defghijklm"), (21, 2, "abcdefghij"), (22, 0, "0123abcdefghijklmn"), (None, 1, "0123abcdefghijklmn"), (21, None, "0123abcdefghijklmn"), (21, 3, None)]
+    frame = spark.createDataFrame(rows, "conv long, turn long, text string")
+    for length, run in ((8, 5), (14, 10), (4, 4)):
+        got = sorted(tuple(x) for x in substrings.best_sources(frame, "conv", "turn", "text", 5, length, run).collect())
+        assert got == _plain_sources(rows, 5, length, run) and got
+
+
+def test_quote_support_moves_texts_not_their_grams(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(g, o, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1000))) for g in range(50) for o in range(8)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = moved()
+    try:
+        scalars.quote_support(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 0 < moved() - before < 1.5 * 1000 * len(rows)
