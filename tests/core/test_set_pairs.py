@@ -1,10 +1,12 @@
 """Candidates of similar sets, attachment of units and peers of clusters against all pairs."""
 
+import pathlib
 import random
 
 import numpy as np
 
 from driftwell.operators import graph, merge, set_pairs, units, vectors
+from driftwell.runtime import shared_folder
 
 
 def jaccard(a, b):
@@ -41,6 +43,54 @@ def test_attach_makes_few_pairs_of_texts_that_begin_alike(spark):
     assert got == sorted((k * 1000 + i, i, 1.0) for k in (1, 2) for i in range(5))
 
 
+def test_attach_equals_all_pairs_and_stores_no_grams(spark, monkeypatch):
+    """Many units of one subject and of like ones, in several chunks, and near copies whose subjects differ; what is written on the way stays near the texts' size."""
+    for name, value in (("CHUNKS", 3), ("CHUNK_LEAST", 60), ("CHUNK_MOST", 150), ("CHUNK_ROWS", 7)):
+        monkeypatch.setattr(units, name, value, raising=False)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijé𝒳") for _ in range(n))
+    heads = [text(60) for _ in range(4)]
+    heads += [h[:59] + "z" for h in heads[:3]]
+    answers = [text(300) for _ in range(12)]
+    rows = []
+    for i in range(1600):
+        head, own = list(rng.choice(heads)), list(rng.choice(answers)) if i % 2 else list(text(300))
+        for _ in range(rng.choice((0, 0, 0, 1, 3))):
+            head[rng.randrange(60)] = "q"
+        for _ in range(rng.choice((0, 1, 4, 15, 30))):
+            own[rng.randrange(300)] = "r"
+        rows.append((i, rng.choice(("en", "de")), "".join(head), "".join(head + own)))
+    grams = [({s[k : k + 4] for k in range(57)}, {t[k : k + 4] for k in range(len(t) - 3)}) for _, _, s, t in rows]
+    want = {}
+    for i, kind, *_ in rows[3::5]:
+        for j, other, *_ in rows:
+            if j % 5 != 3 and kind == other and (js := jaccard(grams[i][0], grams[j][0])) >= 0.5:
+                jt = jaccard(grams[i][1], grams[j][1])
+                if jt >= 0.85 or (js >= 0.9 and jt >= 0.6):
+                    want[i] = max(want.get(i, (0, 0)), (round(0.4 * js + 0.6 * jt, 6), -j))
+    frame = spark.createDataFrame(rows, "id long, kind string, subject string, answer string")
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    written = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = written()
+    got = {r.id: (r.score, -r.canonical) for r in units.attach(frame.where("id % 5 = 3"), frame.where("id % 5 <> 3")).collect()}
+    assert got == want and len(want) > 100
+    assert written() - before < 3 * sum(len(s) + len(t) for _, _, s, t in rows)
+
+
+def test_candidates_move_only_parts_that_may_meet(spark, monkeypatch):
+    """Of sets that have nothing in common the sieves hold back nearly all parts, some forty for each set."""
+    rng = random.Random(9)
+    rows = [(i, "k", [rng.getrandbits(60) for _ in range(200)]) for i in range(600)]
+    rows += [(1000 + i, k, g[:-3] + [rng.getrandbits(60) for _ in range(3)]) for i, k, g in rows[:3]]
+    frame = spark.createDataFrame(rows, "id long, kind string, g array<long>")
+    moved = []
+    whole = set_pairs.materialize
+    monkeypatch.setattr(set_pairs, "materialize", lambda df: moved.append(df.count()) or whole(df))
+    got = {tuple(r) for r in set_pairs.candidates(frame.where("id >= 1000"), frame.where("id < 600"), 0.85).collect()}
+    assert got == {(1000 + i, i) for i in range(3)}
+    assert moved[0] < 600 * 40 / 4
+
+
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PAIR_LEAST", 40)
     rng = np.random.default_rng(2)
