@@ -157,7 +157,9 @@ def candidates(new: DataFrame, old: DataFrame, least: float) -> DataFrame:
     low = least - 1e-6
     new, old = (rows.where(_size(rows) > 0) for rows in (new, old))
     parts = new.agg(F.sum(3 * (1 + (1 - low) / low**2 * _size(new)))).first()[0] or 0
-    y = materialize(_dealt(old, least, (0,), _sieve(_dealt(new, least, (-1, 0, 1)).select("k"), int(parts))))
+    sieve = _sieve(_dealt(new, least, (-1, 0, 1)).select("k"), int(parts))
+    y = materialize(_dealt(old, least, (0,), sieve))
+    sieve.destroy()
     x = _dealt(new, least, (-1, 0, 1), _sieve(y.select("k"), y.count())).alias("x")
     y = y.alias("y")
     m, n = F.col("x.n"), F.col("y.n")
